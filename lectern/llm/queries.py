@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, packing, topk, warc
+from . import bpe, chat, langid, media, packing, quality, topk, warc
 from .common import table
 
 
@@ -14,12 +14,20 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents")))
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op6_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_language(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op7_media_tar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = media.store_payloads(table(spark, sf_dir, "documents"))
     features = media.read_features(media.one_place(index)).drop("shard", "offset", "length")
@@ -61,6 +69,9 @@ FROM f
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_bpe_chunk_reuse, op7_media_tar_shards, op8_norm_bucketed_top_k, op9_arc_to_warc, op10_perspective_rotation)
-}
+    for f in (
+        op1_best_fit_packing, op2_quadratic_discriminant, op3_bpe_chunk_reuse, op6_kneser_ney_language, op7_media_tar_shards,
+        op8_norm_bucketed_top_k, op9_arc_to_warc, op10_perspective_rotation,
+    )
+}
 ORACLES: dict[str, str] = {"op8_norm_bucketed_top_k": OP8_SQL, "op9_arc_to_warc": OP9_SQL, "op10_perspective_rotation": chat.ORACLE}
