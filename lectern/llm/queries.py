@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, media, packing, quality, topk, toxicity, warc
+from . import bpe, chat, langid, media, neardup, packing, quality, topk, toxicity, warc
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op4_odd_sketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -74,8 +78,8 @@ FROM f
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_quadratic_discriminant, op3_bpe_chunk_reuse, op5_noisy_channel_toxicity, op6_kneser_ney_language, op7_media_tar_shards,
-        op8_norm_bucketed_top_k, op9_arc_to_warc, op10_perspective_rotation,
+        op1_best_fit_packing, op2_quadratic_discriminant, op3_bpe_chunk_reuse, op4_odd_sketch_near_duplicates, op5_noisy_channel_toxicity, op6_kneser_ney_language,
+        op7_media_tar_shards, op8_norm_bucketed_top_k, op9_arc_to_warc, op10_perspective_rotation,
     )
 }
 ORACLES: dict[str, str] = {"op8_norm_bucketed_top_k": OP8_SQL, "op9_arc_to_warc": OP9_SQL, "op10_perspective_rotation": chat.ORACLE}
