@@ -13,7 +13,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the model learns from labelled documents outside the held-out fold."""
-    model = toxicity.train(docs.where(fold(F.col("doc_id"), 5) != 0), table(spark, sf_dir, "labels"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0))
     return toxicity.apply_model(docs, model, COLUMNS).where("score < 0.5 OR score IS NULL").select(*COLUMNS)
 
 
