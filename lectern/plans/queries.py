@@ -400,7 +400,21 @@ def p1_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.assemble(parts).drop("piece")
 
 
-@query()
+_ABBREVIATED = ", ".join(f"'{a}'" for a in D.ABBREVIATIONS)
+
+
+@query(
+    rf"""
+WITH m AS (SELECT doc_id, regexp_extract_all(text, '(?s).*?(?:[.!?]+["'')\]]*(?:[{Q.SPACE}]+|$)|\n{{2,}})|.+$') AS l FROM documents),
+p AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS piece FROM m),
+w AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS stop, regexp_extract({Q.trim("piece")}, '([\p{{L}}.]+)\.$', 1) AS word FROM p),
+a AS (SELECT *, word <> '' AND (regexp_replace(lower(word), '\.$', '') IN ({_ABBREVIATED}) OR regexp_matches(word, '^\p{{Lu}}$')) AS abbreviated FROM w),
+o AS (SELECT *, CASE WHEN coalesce(lag(abbreviated) OVER (PARTITION BY doc_id ORDER BY i), FALSE) THEN 0 ELSE 1 END AS opens FROM a),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM o),
+s AS (SELECT doc_id, n, CAST(min(stop - length(piece)) AS INTEGER) AS start, max(stop) AS "end", bool_or(regexp_matches(piece, '[^{Q.SPACE}]')) AS inked FROM g GROUP BY 1, 2)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS sentence_no, start, "end" FROM s WHERE inked
+"""
+)
 def p2_segment_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.segment_sentences(I.documents(spark, sf_dir))
 
@@ -592,14 +606,14 @@ def a7_caption_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.caption_warnings(files, c.where("track_id % 4 <> 0"), c.where("track_id % 4 > 1 AND cue_no = 0"))
 
 
-@query(f"""WITH {Q.PASSAGES} SELECT 'kokoro' AS provider, 'af' AS voice, 3.0::DOUBLE AS speed, body AS text, count(*) AS uses FROM passages GROUP BY body""")
+@query(f"""WITH {Q.PASSAGES} SELECT 'engine' AS provider, 'af' AS voice, 3.0::DOUBLE AS speed, body AS text, count(*) AS uses FROM passages GROUP BY body""")
 def a8_distinct_synthesis_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.distinct_synthesis_requests(passages(spark, sf_dir), "kokoro", "af", 4.0).drop("fnv")
+    return L.distinct_synthesis_requests(passages(spark, sf_dir), "engine", "af", 4.0).drop("fnv")
 
 
 @query()
 def a8_synthesis_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.distinct_synthesis_requests(passages(spark, sf_dir), "kokoro", "af", 4.0).select("text", "fnv")
+    return L.distinct_synthesis_requests(passages(spark, sf_dir), "engine", "af", 4.0).select("text", "fnv")
 
 
 @query(f"""WITH {Q.PASSAGES} SELECT doc_id, passage_index, CAST(0 AS BIGINT) AS mismatched, CAST(0 AS BIGINT) AS lost FROM passages""")
