@@ -22,16 +22,15 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 BANDS, ROWS = 32, 4
-SAMPLES, BITS = BANDS * ROWS, 512
+SAMPLES = BANDS * ROWS
+BINS, BITS = 1024, 2048  # of the sketches
 WORDS = BITS // 64
-#: Sketches that differ in more bits have fewer than 55 % of samples in common: at a similarity of 0.75, five deviations off.
-MOST_BITS = int(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * SAMPLES * 0.45))) + 1
-BLOCK, FAMILY = 2048, 64
+BLOCK, FAMILY = 512, 64
 FIRST = 16
 _rng = np.random.default_rng(11)
 MULTIPLY = _rng.integers(1, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, SAMPLES, np.uint64)
-P = np.uint64(0x100000001B3) * np.uint64(0x9E3779B97F4A7C15)
+P = np.uint64(0x100000001B3 * 0x9E3779B97F4A7C15 % (1 << 64))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -75,11 +74,34 @@ def samples(s: np.ndarray) -> np.ndarray:
     return least
 
 
-def sketch(least: np.ndarray) -> np.ndarray:
-    """The parity bitmap of the samples, each a pair of its number and its value."""
-    at = _mix(least + np.arange(SAMPLES, dtype=np.uint64) * P) % np.uint64(BITS)
+def sketch(s: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many MinHash samples a set has, and their parity bitmap.
+
+    Samples are the smallest member of each of BINS parts of the hash range (one-permutation MinHash), so a set smaller than
+    that is sampled nearly whole.
+    """
+    part = s >> np.uint64(64 - BINS.bit_length() + 1)
+    first = s[np.concatenate([[True], part[1:] != part[:-1]])] if len(s) else s  # s is sorted
+    at = _mix(first * P) >> np.uint64(64 - BITS.bit_length() + 1)
     parity = (np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
-    return np.packbits(parity).view(np.int64)
+    return len(first), np.packbits(parity).view(np.int64)
+
+
+def least_similarity(union: np.ndarray, percent: int) -> np.ndarray:
+    """The estimate below which a pair is surely unlinked: five deviations of sampling and folding, and room for tiny sets."""
+    filled = BINS * -np.expm1(-union / BINS)
+    share = percent / 100
+    deviation = np.sqrt(share * (1 - share) / filled * np.maximum(0, 1 - filled / union) + 1e-4)
+    return share - 5 * deviation - 2 / filled
+
+
+def estimate(differ: np.ndarray, samples: np.ndarray, union: np.ndarray) -> np.ndarray:
+    """Similarity from the bits in which two sketches differ, the samples of both together, and the size of their union.
+
+    Half of the samples less those not shared are shared ones; they are set against the parts that the union fills.
+    """
+    unlike = -BITS / 2 * np.log(np.maximum(1e-9, 1 - 2 * differ / BITS))
+    return (samples - unlike) / 2 / (BINS * -np.expm1(-union / BINS))
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
@@ -90,28 +112,28 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, n, key, bands, sketch) of every row; key, bands and sketch are null for empty sets."""
+    """(doc_id, n, key, bands, samples, sketch) of every row; all but doc_id and n are null for empty sets."""
 
     def rows(batches):
         hashes = WordHashes()
         for batch in batches:
-            n, keys, bands, maps = [], [], [], []
+            n, keys, bands, counts, maps = [], [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), hashes, size)
                 n.append(len(s))
                 if len(s):
-                    least = samples(s)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    bands.append(band_keys(least))
-                    maps.append(sketch(least))
+                    bands.append(band_keys(samples(s)))
+                    count, bitmap = sketch(s)
+                    counts.append(count)
+                    maps.append(bitmap)
                 else:
-                    keys.append(None)
-                    bands.append(None)
-                    maps.append(None)
+                    for column in (keys, bands, counts, maps):
+                        column.append(None)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(maps, longs)], ["doc_id", "n", "key", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(counts, pa.int64()), pa.array(maps, longs)], ["doc_id", "n", "key", "bands", "samples", "sketch"])
 
-    return docs.mapInArrow(rows, "doc_id long, n long, key binary, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(rows, "doc_id long, n long, key binary, bands array<long>, samples long, sketch array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -141,48 +163,62 @@ def components(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose sketches differ in few enough bits."""
-    side = lambda c: sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"s_{c}"))
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) that sizes and sketches don't rule out; the same rules as in ``_closest``, as expressions."""
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("samples").alias(f"m_{c}"), F.col("sketch").alias(f"s_{c}"))
     differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, c: t + c)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= MOST_BITS).select("a", "b")
+    unlike = F.log(F.greatest(F.lit(1e-9), 1 - 2 * differ / BITS)) * (-BITS / 2)
+    share = percent / 100
+    union = (F.col("n_a") + F.col("n_b")) / (1 + share)  # at the least similarity that links; it is smaller above
+    filled = F.expm1(-union / BINS) * -BINS
+    found = (F.col("m_a") + F.col("m_b") - unlike) / 2 / filled
+    deviation = F.sqrt(share * (1 - share) / filled * F.greatest(F.lit(0.0), 1 - filled / union) + 1e-4)
+    joined = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    joined = joined.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return joined.where(found >= share - 5 * deviation - 2 / filled).select("a", "b")
 
 
 def _families(pairs: DataFrame) -> DataFrame:
-    """For each node what to be held against: (node, uses array<(leader, salt, member)>); leaders serve each of their salts."""
+    """Pairs (a, b) with ``g``, the group that confirms them: those of a leader b, at most about FAMILY each."""
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("salts"))
-    members = pairs.join(sizes, "b").select(F.col("a").alias("node"), F.col("b").alias("leader"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
-    leaders = sizes.select(F.col("b").alias("node"), F.col("b").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
-    return members.unionByName(leaders)
+    return pairs.join(sizes, "b").select(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("salts"))).alias("g"), "a", "b")
+
+
+def _users(pairs: DataFrame) -> DataFrame:
+    """(node, g): the groups in which each set is needed."""
+    return pairs.select(F.col("a").alias("node"), "g").unionByName(pairs.select(F.col("b").alias("node"), "g")).distinct()
 
 
-def _confirm(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among rows (leader, salt, member, node, shingles): members meet their leader's set."""
+def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among pairs (g, a, b), on the full sets (g, node, shingles); each group gets a set once."""
 
     def check(batches):
-        family, sets = None, []
+        group, held = None, {}
         for batch in batches:
             found = []
-            values = batch.column(4)
-            for leader, salt, member, node, s in zip(*(batch.column(i).to_pylist() for i in range(4)), values, strict=True):
-                s = s.values.to_numpy(zero_copy_only=False)
-                if family != (leader, salt):
-                    family, sets = (leader, salt), []
-                if not member:
-                    sets.append(s)
-                    continue
-                for t in sets:
-                    if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
-                        small, large = (s, t) if len(s) < len(t) else (t, s)
-                        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        both = int(np.count_nonzero(large[at] == small))
-                        if 100 * both >= percent * (len(s) + len(t) - both):
-                            found.append((node, leader))
-                            break
+            for g, kind, a, b, s in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if g != group:
+                    group, held = g, {}
+                if not kind:
+                    held.setdefault(a, []).append(s.values.to_numpy(zero_copy_only=False))
+                elif any(similar(x, y, percent) for x in held.get(a, ()) for y in held.get(b, ())):
+                    found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    dealt = rows.select("leader", "salt", "member", "node", "shingles").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member")
-    return dealt.mapInArrow(check, "a long, b long")
+    none = F.lit(None)
+    rows = sets.select("g", F.lit(0).alias("kind"), F.col("node").alias("a"), none.cast("long").alias("b"), "shingles")
+    rows = rows.unionByName(pairs.select("g", F.lit(1).alias("kind"), "a", "b", none.cast("array<long>").alias("shingles")))
+    return rows.repartition("g").sortWithinPartitions("g", "kind").mapInArrow(check, "a long, b long")
+
+
+def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share ``percent`` of their union."""
+    small, large = (s, t) if len(s) < len(t) else (t, s)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int(np.count_nonzero(large[at] == small))
+    return 100 * both >= percent * (len(s) + len(t) - both)
 
 
 def _sets(texts: DataFrame, size: int, columns: list[str]) -> DataFrame:
@@ -200,32 +236,43 @@ def _sets(texts: DataFrame, size: int, columns: list[str]) -> DataFrame:
     return texts.select(*columns, "text").mapInArrow(rows, f"{fields}, shingles array<long>")
 
 
-def _closest(asking: DataFrame, others: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs (a, b) of different components: for each asking class those of the other side's block ranked low to high.
+def _closest(asking: DataFrame, others: DataFrame, low: int, high: int, percent: int) -> DataFrame:
+    """Pairs (g, a, b) of different components: for each asking class those of the other side's block ranked low to high.
 
-    asking and others: (band, block of the one, block of the other, node, root, sketch). Ranks go by differing bits, then
-    node, among the whole block, so they are the same in every round.
+    asking and others: (band, block of the one, block of the other, node, root, n, samples, sketch, bands). Ranks go by differing
+    bits, then node, among the whole block, so they are the same in every round. A pair belongs to the first band that both
+    have in common, and is made there only; ``g`` stands for the blocks' group.
     """
     keys = ["band", "mine", "yours"]
 
     def rank(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = left["node"].to_numpy(), right["r_node"].to_numpy()
-        a_root, b_root = left["root"].to_numpy(), right["r_root"].to_numpy()
-        bits = lambda c: np.array(c.to_pylist(), np.int64).reshape(-1, WORDS).view(np.uint64)
-        x, y = (bits(left["sketch"]), bits(right["r_sketch"])) if len(a) and len(b) else (None, None)
         out_a, out_b = [], []
-        order = np.argsort(b, kind="stable")
-        for i in range(len(a) if len(b) else 0):
-            differ = np.bitwise_count(y[order] ^ x[i]).sum(1, dtype=np.int64)
-            ranked = order[np.argsort(differ, kind="stable")[low:high]]
-            near = np.bitwise_count(y[ranked] ^ x[i]).sum(1, dtype=np.int64) <= MOST_BITS
-            ranked = ranked[near & (b_root[ranked] != a_root[i])]
-            out_a += [a[i]] * len(ranked)
-            out_b += b[ranked].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    others = others.select(*(F.col(c).alias(f"r_{c}") for c in (*keys, "node", "root", "sketch")))
-    return asking.groupBy(*keys).cogroup(others.groupBy(*(f"r_{c}" for c in keys))).applyInArrow(rank, "a long, b long")
+        if left.num_rows and right.num_rows:
+            bits = lambda c: np.array(c.to_pylist(), np.int64).reshape(-1, WORDS).view(np.uint64)
+            right = right.sort_by("r_node")
+            a, a_root, a_n, a_m = (left[c].to_numpy() for c in ("node", "root", "n", "samples"))
+            b, b_root, b_n, b_m = (right[f"r_{c}"].to_numpy() for c in ("node", "root", "n", "samples"))
+            x, y = bits(left["sketch"]), bits(right["r_sketch"])
+            bands = lambda c: np.array(c.to_pylist(), np.int64).reshape(-1, BANDS)
+            a_bands, b_bands = bands(left["bands"]), bands(right["r_bands"])
+            band = int(np.flatnonzero(a_bands[0] == key[0].as_py())[0])
+            for i in range(len(a)):
+                differ = np.bitwise_count(y ^ x[i]).sum(1, dtype=np.int64)
+                ranked = np.argsort(differ, kind="stable")[low:high]
+                union = (a_n[i] + b_n[ranked]) / (1 + percent / 100)
+                near = (b_root[ranked] != a_root[i]) & (100 * np.minimum(b_n[ranked], a_n[i]) >= percent * np.maximum(b_n[ranked], a_n[i]))
+                near &= estimate(differ[ranked], a_m[i] + b_m[ranked], union) >= least_similarity(union, percent)
+                near &= ~(b_bands[ranked, :band] == a_bands[i, :band]).any(1)
+                out_a += [a[i]] * int(near.sum())
+                out_b += b[ranked[near]].tolist()
+        return pa.table({"a": pa.array(np.maximum(out_a, out_b), pa.int64()), "b": pa.array(np.minimum(out_a, out_b), pa.int64()), "g": pa.array([key_hash(key)] * len(out_a), pa.int64())})
+
+    def key_hash(key) -> int:
+        return xxhash.xxh64_intdigest(repr([k.as_py() for k in key])) >> 1
+
+    others = others.select(*(F.col(c).alias(f"r_{c}") for c in (*keys, "node", "root", "n", "samples", "sketch", "bands")))
+    found = asking.groupBy(*keys).cogroup(others.groupBy(*(f"r_{c}" for c in keys))).applyInArrow(rank, "a long, b long, g long")
+    return found.groupBy("a", "b").agg(F.min("g").alias("g"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
@@ -237,23 +284,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(signatures(texts, size), "signatures")
-    classes = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("x"))
-    classes = materialise(classes.select("key", "node", "x.bands", "x.sketch"), "classes")
-    sketches = classes.select("node", "sketch")
+    classes = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n", "bands", "samples", "sketch"), "doc_id").alias("x"))
+    classes = materialise(classes.select("key", "node", "x.*"), "classes")
+    sketches = classes.select("node", "n", "samples", "sketch")
     rows = classes.select("node", F.explode("bands").alias("band")).distinct()
     first = rows.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
     buckets = materialise(rows.join(first, "band"), "buckets")
 
     def verify(pairs: DataFrame, sets: DataFrame | None) -> DataFrame:
-        """Links among the pairs; sets (node, shingles), or None: from the texts."""
-        uses = _families(materialise(_near(pairs.distinct(), sketches), "pairs"))
+        """Links among the pairs (g, a, b); sets (node, shingles), or None: from the texts."""
+        pairs = materialise(pairs, "pairs")
+        users = _users(pairs)
         if sets is None:
-            held = uses.groupBy("node").agg(F.collect_list(F.struct("leader", "salt", "member")).alias("uses"))
-            own = _sets(texts.join(held, texts.doc_id == held.node), size, ["node", "uses"])
-            uses = own.select("node", "shingles", F.explode("uses").alias("u")).select("u.*", "node", "shingles")
+            held = users.groupBy("node").agg(F.collect_list("g").alias("groups"))
+            own = _sets(texts.join(held.hint("merge"), texts.doc_id == held.node), size, ["node", "groups"])
+            own = own.select("node", "shingles", F.explode("groups").alias("g"))
         else:
-            uses = uses.join(sets, "node")
-        return materialise(_confirm(uses, percent), "links")
+            own = users.hint("merge").join(sets, "node")
+        return materialise(_confirm(own, pairs, percent), "links")
 
     def unite(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Roots of all linked classes, and the buckets that still hold several components: (band, node, root)."""
@@ -262,28 +310,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
         split = seen.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         return roots, materialise(seen.join(split.select("band"), "band"), "split")
 
-    links = verify(buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")), None)
+    led = buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    links = verify(_families(_near(led, sketches, percent)), None)
     roots, split = unite(links)
     if split.head(1):
         wanted = split.select("node").distinct()
-        sets = materialise(_sets(texts.join(wanted, texts.doc_id == wanted.node), size, ["node"]), "sets")
+        sets = materialise(_sets(texts.join(wanted.hint("merge"), texts.doc_id == wanted.node), size, ["node"]), "sets")
         last = split.groupBy("band").agg(F.max(F.struct("node", "root")).alias("l"))
-        pairs = split.join(last, "band").where("root <> l.root").select(F.col("node").alias("a"), F.col("l.node").alias("b"))
-        links = links.unionByName(verify(pairs, sets))
+        pairs = split.join(last, "band").where("root <> l.root").select(F.col("node").alias("a"), F.col("l.node").alias("b")).distinct()
+        links = links.unionByName(verify(_families(_near(pairs, sketches, percent)), sets))
         roots, split = unite(links)
         low, high = 0, FIRST
         while True:
-            sizes = split.groupBy("band").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-            most = sizes.agg(F.max(F.when(F.col("blocks") == 1, F.col("n")).otherwise(2 * BLOCK))).head()[0] or 0
+            sizes = split.groupBy("band").agg(F.count("*").alias("held"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+            most = sizes.agg(F.max(F.when(F.col("blocks") == 1, F.col("held")).otherwise(2 * BLOCK))).head()[0] or 0
             if low >= most:  # no bucket is split, or every block has been ranked to its end
                 break
             largest = split.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m")).select("band", F.col("m.root").alias("main"))
-            dealt = split.join(sizes, "band").join(sketches, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            dealt = split.join(sizes.drop("held"), "band").join(classes.drop("key"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-            asking = dealt.join(largest, "band").where("root <> main").select("band", F.col("block").alias("mine"), all_blocks.alias("yours"), "node", "root", "sketch")
-            others = dealt.select("band", all_blocks.alias("mine"), F.col("block").alias("yours"), "node", "root", "sketch")
-            pairs = _closest(asking, others, low, high).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            links = links.unionByName(verify(pairs, sets))
+            asking = dealt.join(largest, "band").where("root <> main").select("band", F.col("block").alias("mine"), all_blocks.alias("yours"), "node", "root", "n", "samples", "sketch", "bands")
+            others = dealt.select("band", all_blocks.alias("mine"), F.col("block").alias("yours"), "node", "root", "n", "samples", "sketch", "bands")
+            links = links.unionByName(verify(_closest(asking, others, low, high, percent), sets))
             roots, split = unite(links)
             low, high = high, high * 8
     named = classes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
