@@ -7,8 +7,10 @@ Pairs that remain are confirmed on full shingle sets.
 
 Within a bucket not all pairs are made. Every class is first held against one leader of its bucket, twice with different
 leaders; after each round, links join classes to components, and only buckets that still hold several components go on.
-There each class outside the bucket's largest component meets the other components' classes closest first by sketch, more
-in each round, until none within the sketches' bound is left. Skipped pairs lie in one component already, so none is lost.
+There each class outside the component that was the bucket's largest at first meets the other components' classes closest
+first by sketch, more in each round, until none within the sketches' bound is left. Which class of a pair asks is settled
+before the first of these rounds, and holds whatever component is the largest later. Skipped pairs lie in one component
+already, so none is lost.
 """
 
 from __future__ import annotations
@@ -236,12 +238,18 @@ def _sets(texts: DataFrame, size: int, columns: list[str]) -> DataFrame:
     return texts.select(*columns, "text").mapInArrow(rows, f"{fields}, shingles array<long>")
 
 
+def has_pair(a: int, b: np.ndarray) -> np.ndarray:
+    """Whether class a, not b, asks for the pair where both ask: about half of the pairs of every class."""
+    return (a < b) == (np.bitwise_count(a ^ b) % 2 == 1)
+
+
 def _closest(asking: DataFrame, others: DataFrame, low: int, high: int, percent: int) -> DataFrame:
     """Pairs (g, a, b) of different components: for each asking class those of the other side's block ranked low to high.
 
-    asking and others: (band, block of the one, block of the other, node, root, n, samples, sketch, bands). Ranks go by differing
-    bits, then node, among the whole block, so they are the same in every round. A pair belongs to the first band that both
-    have in common, and is made there only; ``g`` stands for the blocks' group.
+    asking and others: (band, block of the one, block of the other, node, root, n, samples, sketch, bands); others also have
+    ``asks``. Of two classes that ask, one has the pair (``has_pair``). Ranks go by differing bits, then node, among all that the
+    class has in the block, so they are the same in every round. A pair belongs to the first band that both have in common,
+    and is made there only; ``g`` stands for the blocks' group.
     """
     keys = ["band", "mine", "yours"]
 
@@ -255,13 +263,18 @@ def _closest(asking: DataFrame, others: DataFrame, low: int, high: int, percent:
             x, y = bits(left["sketch"]), bits(right["r_sketch"])
             bands = lambda c: np.array(c.to_pylist(), np.int64).reshape(-1, BANDS)
             a_bands, b_bands = bands(left["bands"]), bands(right["r_bands"])
+            silent = ~right["r_asks"].to_numpy()
             band = int(np.flatnonzero(a_bands[0] == key[0].as_py())[0])
             for i in range(len(a)):
-                differ = np.bitwise_count(y ^ x[i]).sum(1, dtype=np.int64)
-                ranked = np.argsort(differ, kind="stable")[low:high]
+                has = np.flatnonzero(silent | has_pair(a[i], b))
+                if len(has) <= low or (b_root[has] == a_root[i]).all():
+                    continue
+                differ = np.bitwise_count(y[has] ^ x[i]).sum(1, dtype=np.int64)
+                order = np.argsort(differ, kind="stable")[low:high]
+                ranked, differ = has[order], differ[order]
                 union = (a_n[i] + b_n[ranked]) / (1 + percent / 100)
                 near = (b_root[ranked] != a_root[i]) & (100 * np.minimum(b_n[ranked], a_n[i]) >= percent * np.maximum(b_n[ranked], a_n[i]))
-                near &= estimate(differ[ranked], a_m[i] + b_m[ranked], union) >= least_similarity(union, percent)
+                near &= estimate(differ, a_m[i] + b_m[ranked], union) >= least_similarity(union, percent)
                 near &= ~(b_bands[ranked, :band] == a_bands[i, :band]).any(1)
                 out_a += [a[i]] * int(near.sum())
                 out_b += b[ranked[near]].tolist()
@@ -270,7 +283,7 @@ def _closest(asking: DataFrame, others: DataFrame, low: int, high: int, percent:
     def key_hash(key) -> int:
         return xxhash.xxh64_intdigest(repr([k.as_py() for k in key])) >> 1
 
-    others = others.select(*(F.col(c).alias(f"r_{c}") for c in (*keys, "node", "root", "n", "samples", "sketch", "bands")))
+    others = others.select(*(F.col(c).alias(f"r_{c}") for c in (*keys, "node", "root", "n", "samples", "sketch", "bands", "asks")))
     found = asking.groupBy(*keys).cogroup(others.groupBy(*(f"r_{c}" for c in keys))).applyInArrow(rank, "a long, b long, g long")
     return found.groupBy("a", "b").agg(F.min("g").alias("g"))
 
@@ -321,16 +334,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
         links = links.unionByName(verify(_families(_near(pairs, sketches, percent)), sets))
         roots, split = unite(links)
         low, high = 0, FIRST
+        # fixed for all rounds: a bucket keeps its classes while it is split, and of each pair of different roots one class asks
+        sizes = split.groupBy("band").agg(F.count("*").alias("held"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        largest = split.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m")).select("band", F.col("m.root").alias("main"))
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+        placed = materialise(split.join(sizes, "band").join(largest, "band").select("band", "node", "held", "blocks", block, (F.col("root") != F.col("main")).alias("asks")), "placed")
         while True:
-            sizes = split.groupBy("band").agg(F.count("*").alias("held"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-            most = sizes.agg(F.max(F.when(F.col("blocks") == 1, F.col("held")).otherwise(2 * BLOCK))).head()[0] or 0
+            held = split.join(placed, ["band", "node"])
+            most = held.agg(F.max(F.when(F.col("blocks") == 1, F.col("held")).otherwise(2 * BLOCK))).head()[0] or 0
             if low >= most:  # no bucket is split, or every block has been ranked to its end
                 break
-            largest = split.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m")).select("band", F.col("m.root").alias("main"))
-            dealt = split.join(sizes.drop("held"), "band").join(classes.drop("key"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            dealt = held.drop("held").join(classes.drop("key"), "node")
             all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-            asking = dealt.join(largest, "band").where("root <> main").select("band", F.col("block").alias("mine"), all_blocks.alias("yours"), "node", "root", "n", "samples", "sketch", "bands")
-            others = dealt.select("band", all_blocks.alias("mine"), F.col("block").alias("yours"), "node", "root", "n", "samples", "sketch", "bands")
+            asking = dealt.where("asks").select("band", F.col("block").alias("mine"), all_blocks.alias("yours"), "node", "root", "n", "samples", "sketch", "bands")
+            others = dealt.select("band", all_blocks.alias("mine"), F.col("block").alias("yours"), "node", "root", "n", "samples", "sketch", "bands", "asks")
             links = links.unionByName(verify(_closest(asking, others, low, high, percent), sets))
             roots, split = unite(links)
             low, high = high, high * 8

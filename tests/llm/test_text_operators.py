@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -151,6 +152,29 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(got[i].kept == (i == roots[i]) for i in got)
 
 
+def test_no_link_is_lost_when_the_largest_component_changes(spark, monkeypatch):
+    rng = random.Random(8)
+    fresh = lambda n: {f"w{rng.getrandbits(60):x}" for _ in range(n)}
+    swap = lambda s, n, among=None: s - (gone := set(rng.sample(sorted(among or s), n))) | fresh(len(gone))
+    middle = fresh(200)
+    a = swap(middle, 27)
+    b = swap(a, 27, a & middle)  # linked with a only; a is linked with the middle of the first largest component
+    sets = [middle, *(swap(middle, 20) for _ in range(10)), a, b, *(swap(b, 3, a & b) for _ in range(40)), *(fresh(200) for _ in range(100))]
+    roots = list(range(len(sets)))
+    for _ in sets:
+        for i, j in combinations(range(len(sets)), 2):
+            if len(sets[i] & sets[j]) * 100 >= 75 * len(sets[i] | sets[j]):
+                roots[i] = roots[j] = min(roots[i], roots[j])
+        if roots[52] == 0:
+            break
+    assert roots == [0] * 53 + list(range(53, 153)) and not any(len(a & s) * 100 >= 75 * len(a | s) for s in sets[13:])
+    signatures = neardup.signatures
+    one_bucket = lambda docs, size: signatures(docs, size).withColumn("bands", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(i == 0, F.lit(7)).otherwise(F.xxhash64("doc_id", i))))
+    monkeypatch.setattr(neardup, "signatures", one_bucket)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(table(spark, [" ".join(sorted(s)) for s in sets]), size=1).collect()}
+    assert [got[i] for i in range(len(sets))] == roots
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r.node: r.root for r in neardup.components(edges).collect()} == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
