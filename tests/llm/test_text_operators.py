@@ -212,6 +212,23 @@ def test_toxicity_learns_and_sees_through_disguise(spark):
     assert [r.score for r in none] == [0.5, 0.5]
 
 
+def test_long_odd_tokens_are_decoded():
+    words = ["river", "stone", "garden", "window", "yellow", "market", "letter", "bridge", "summer", "kettle", "grumbot", "snorkwad"]
+    model = toxicity.ToxicModel({"grumbot ": 5.0, "snorkwad ": 4.0}, toxicity.CharModel.of(dict.fromkeys(words, 50.0)), [0.0] * 4)
+    reader = toxicity.Reader(model)
+    for size in (40, 41, 10_000):
+        fill = lambda n, x: (x * (n // len(x) + 1))[:n]
+        assert reader.hits("snorkw" + "a" * (size - 7) + "d")[0] == 4.0
+        assert reader.hits("grumb0t" + fill(size - 7, "-river-stone-garden"))[0] == 5.0
+        assert reader.hits(fill(size - 8, "river-stone-garden-") + "-grumb0t")[0] == 5.0
+        assert reader.hits(fill(size, "river-st0ne-garden-"))[0] == 0.0
+    assert reader.hits("riverst0ne" * 8 + "grumb0t" + "gardenwind0w" * 8)[0] == 5.0  # text without spaces
+    assert reader.hits("-".join("riverstonegardengrumbotletter"))[0] == 5.0
+    assert reader.hits("_".join("river" * 400 + "snorkwad"))[0] == 4.0
+    for t in ("aaaaaa", "b__________b", "1111x--", "$$$$", "...", "x***y"):
+        assert toxicity.lattice(toxicity.squeeze(t), "abc") == toxicity.lattice(t, "abc")
+
+
 def test_language_and_rejection(spark):
     rng = random.Random(6)
     sounds = {"aa": ["ka", "lo", "mi", "ta"], "bb": ["sch", "und", "er", "ich"]}
