@@ -256,10 +256,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): revisits take size and page of the response they name."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to): revisits take size and page of the response they name.
+
+    Only records that name one are joined, as null keys would all go to one task.
+    """
     first = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"))
-    joined = records.join(first, "refers_to_id", "left")
-    return joined.select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    joined = records.where("refers_to_id IS NOT NULL").join(first, "refers_to_id", "left")
+    joined = joined.select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    alone = records.where("refers_to_id IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    return alone.unionByName(joined)
 
 
 def pages_to_warc(pages: DataFrame, version: int = 1, least: int = 1000) -> DataFrame:

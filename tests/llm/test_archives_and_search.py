@@ -3,6 +3,7 @@
 import hashlib
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -70,6 +71,22 @@ def test_arc_to_warc(spark, version):
     assert warc.pages_to_warc(pages.where("page_id < 0"), version).count() == 0
 
 
+def test_responses_are_not_dealt_by_a_null_key(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    rows = [(i, f"r{i}", "response", "u", "d", i, "x", None) for i in range(400)] + [(400, "r400", "revisit", "u", "d", None, "x", "r7"), (401, "r401", "revisit", "u", "d", None, "x", "gone")]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        resolved = warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORDS).repartition(4))
+        got = resolved.selectExpr("*", "spark_partition_id() AS at").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.page_id: (r.payload_bytes, r.refers_to) for r in got} == {**{i: (i, None) for i in range(400)}, 400: (7, 7), 401: (None, None)} and len(got) == 402
+    assert max(Counter(r["at"] for r in got).values()) < 201
+
+
 def test_arc_errors(spark):
     fields = warc.ARC_FIELDS[1]
     good = warc.arc_record(1, "http://x", "20240101000000", "text/html", b"body", "n", 0)
