@@ -229,6 +229,16 @@ def test_long_odd_tokens_are_decoded():
         assert toxicity.lattice(toxicity.squeeze(t), "abc") == toxicity.lattice(t, "abc")
 
 
+def test_spaced_stems_and_long_words():
+    words = ["river", "stone", "garden", "snorkwaddle", "grumbotificationary"]
+    model = toxicity.ToxicModel({"snor": 3.0, "grumbotificationary ": 5.0}, toxicity.CharModel.of(dict.fromkeys(words, 50.0)), [0.0] * 4)
+    reader = toxicity.Reader(model)
+    assert reader.hits("a " + " ".join("snorkwaddle"))[0] == 3.0
+    for lead in range(0, 100, 9):
+        assert reader.hits(" ".join(("river" * 20)[:lead] + "grumbotificationary"))[0] == 5.0
+    assert reader.hits(" ".join("riverstonegarden"))[0] == 0.0
+
+
 def test_language_and_rejection(spark):
     rng = random.Random(6)
     sounds = {"aa": ["ka", "lo", "mi", "ta"], "bb": ["sch", "und", "er", "ich"]}
