@@ -5,16 +5,18 @@ buckets, and an odd sketch: its MinHash samples folded into a parity bitmap. The
 how many samples differ, precisely where similarity is high, so a pair whose bitmaps differ too much needs no further look.
 Pairs that remain are confirmed on full shingle sets.
 
-Within a bucket not all pairs are made. Every class is first held against one leader of its bucket, twice with different
-leaders; after each round, links join classes to components, and only buckets that still hold several components go on.
-There each class outside the component that was the bucket's largest at first meets the other components' classes closest
-first by sketch, more in each round, until none within the sketches' bound is left. Which class of a pair asks is settled
-before the first of these rounds, and holds whatever component is the largest later. Skipped pairs lie in one component
-already, so none is lost.
+Pairs are never written out bucket by bucket. Every class is first held against one leader of its bucket, twice with
+different leaders; links join classes to components, and only buckets that still hold several components go on. There each
+class outside the component that was the bucket's largest at first meets the members of other components within one task:
+those closest by sketch first, then all the rest that sketches can't rule out. A task names the sets that it needs and gets
+each of them once, so what moves grows with the classes, not with their pairs. Pairs are left out only where both classes
+lie in one component already, or where an earlier band has them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,14 +27,21 @@ from .common import materialise
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-BINS, BITS = 1024, 2048  # of the sketches
+BINS, BITS = 8192, 4096  # of the sketches
 WORDS = BITS // 64
-BLOCK, FAMILY = 512, 64
+BLOCK, FAMILY = 1024, 64  # classes that meet in a task, pairs of a leader that one task confirms
+ASKING, HELD = 256, 4_000_000  # classes that ask and shingles that are held, for one confirming group
 FIRST = 16
+LONG = 256  # bytes from which a word is hashed by itself
 _rng = np.random.default_rng(11)
 MULTIPLY = _rng.integers(1, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, SAMPLES, np.uint64)
 P = np.uint64(0x100000001B3 * 0x9E3779B97F4A7C15 % (1 << 64))
+BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+POWER = np.cumprod(np.full(LONG, P | np.uint64(1)), dtype=np.uint64)
+BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+PLACES = np.arange(SAMPLES, dtype=np.uint64)
+TOP = np.uint64(65 - SAMPLES.bit_length())
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -41,39 +50,55 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for up to ``most`` words."""
-
-    def __init__(self, most: int = 400_000):
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) > self.most:
-            self.clear()
-        self[word] = h
-        return h
-
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words in order: A-Z lower-cased, words between ASCII white space.
 
-def shingles(text: str | None, hashes: WordHashes, size: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles: A-Z lower-cased, words between ASCII white space."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    A word's hash is a polynomial in its bytes; those of LONG bytes or more, of which few can be alike, are hashed one by one.
+    """
+    data = (text or "").encode().lower()
+    raw = np.frombuffer(data, np.uint8)
+    ink = np.zeros(len(raw) + 2, bool)
+    np.logical_not(BLANK[raw], out=ink[1:-1])
+    bounds = np.flatnonzero(ink[1:] != ink[:-1])
+    starts, sizes = bounds[0::2], bounds[1::2] - bounds[0::2]
+    if not len(starts):
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(words))
-    h = np.full(len(words) - n + 1, n, np.uint64)
+    at = np.cumsum(sizes) - sizes
+    place = np.arange(at[-1] + sizes[-1]) - np.repeat(at, sizes)
+    long = np.flatnonzero(sizes >= LONG)
+    if len(long):
+        np.minimum(place, LONG - 1, out=place)
+    h = np.add.reduceat(BYTE[raw[ink[1:-1]]] * POWER[place], at)
+    for i in long:
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+    return h
+
+
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles of ``size`` words; with fewer words, of all of them as one."""
+    w = word_hashes(text)
+    if not len(w):
+        return w
+    n = min(size, len(w))
+    h = np.full(len(w) - n + 1, n, np.uint64)
     for k in range(n):
-        h = h * P + w[k : len(words) - n + 1 + k]
-    return np.unique(_mix(h))
+        h = h * P + _mix(w[k : len(w) - n + 1 + k])
+    h = np.sort(_mix(h))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def samples(s: np.ndarray) -> np.ndarray:
-    """MinHash samples of a set."""
-    least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 1024):
-        np.minimum(least, (s[i : i + 1024, None] * MULTIPLY + ADD).min(0), out=least)
-    return least
+    """MinHash samples of a sorted set: the smallest member of each of SAMPLES parts of the hash range.
+
+    A part without members takes the smallest under a hash of its own. For the union of two sets that choice falls on any
+    member alike, so a sample of both sets is equal with their similarity as its chance.
+    """
+    out = s[np.minimum(np.searchsorted(s, PLACES << TOP), len(s) - 1)]
+    empty = np.flatnonzero(out >> TOP != PLACES)
+    for i in range(0, len(empty) and len(s), 1024):
+        least = (s[i : i + 1024, None] * MULTIPLY[empty] + ADD[empty]).min(0)
+        out[empty] = np.minimum(out[empty], least) if i else least
+    return out
 
 
 def sketch(s: np.ndarray) -> tuple[int, np.ndarray]:
@@ -89,12 +114,25 @@ def sketch(s: np.ndarray) -> tuple[int, np.ndarray]:
     return len(first), np.packbits(parity).view(np.int64)
 
 
+def filled(n: np.ndarray) -> np.ndarray:
+    """How many of the sketches' parts a set of n members fills, on average."""
+    return BINS * -np.expm1(-n / BINS)
+
+
 def least_similarity(union: np.ndarray, percent: int) -> np.ndarray:
-    """The estimate below which a pair is surely unlinked: five deviations of sampling and folding, and room for tiny sets."""
-    filled = BINS * -np.expm1(-union / BINS)
-    share = percent / 100
-    deviation = np.sqrt(share * (1 - share) / filled * np.maximum(0, 1 - filled / union) + 1e-4)
-    return share - 5 * deviation - 2 / filled
+    """The estimate below which a pair is surely unlinked: five deviations at the least similarity that links.
+
+    The deviation has three causes: which members of the union are samples, how many parts the union fills, and samples that
+    fall on one bit of the bitmap. Tiny sets get room for two samples more.
+    """
+    share, c, parts = percent / 100, union / BINS, filled(union)
+    unlike = 2 * filled(union * (1 + share) / 2) - 2 * share * parts
+    decay = np.exp(-2 * unlike / BITS)
+    odd = (1 - decay) / 2
+    folding = np.maximum(0, BITS * odd * (1 - odd) - unlike * decay * decay) / (decay * decay) / 4
+    occupied = BINS * (np.exp(-c) - (1 + c) * np.exp(-2 * c))
+    sampling = share * (1 - share) * parts * np.maximum(0, 1 - parts / union)
+    return share - 5 * np.sqrt(folding + np.maximum(0, occupied) * share**2 + sampling) / parts - 2 / parts
 
 
 def estimate(differ: np.ndarray, samples: np.ndarray, union: np.ndarray) -> np.ndarray:
@@ -103,13 +141,21 @@ def estimate(differ: np.ndarray, samples: np.ndarray, union: np.ndarray) -> np.n
     Half of the samples less those not shared are shared ones; they are set against the parts that the union fills.
     """
     unlike = -BITS / 2 * np.log(np.maximum(1e-9, 1 - 2 * differ / BITS))
-    return (samples - unlike) / 2 / (BINS * -np.expm1(-union / BINS))
+    return (samples - unlike) / 2 / filled(union)
+
+
+def may_link(differ: np.ndarray, n: np.ndarray, m: np.ndarray, samples: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m members, whose sketches differ in so many bits, may be as similar as ``percent``."""
+    union = (n + m) / (1 + percent / 100)  # at the least similarity that links; it is smaller above
+    sizes = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    return sizes & (estimate(differ, samples, union) >= least_similarity(union, percent))
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    """A row of band keys for each row of samples; keys of different bands never mean the same."""
+    h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(least), 1))
     for k in range(ROWS):
-        h = _mix(h * P + least[k::ROWS][:BANDS])
+        h = _mix(h * P + least[:, k::ROWS])
     return h.view(np.int64)
 
 
@@ -117,23 +163,26 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
     """(doc_id, n, key, bands, samples, sketch) of every row; all but doc_id and n are null for empty sets."""
 
     def rows(batches):
-        hashes = WordHashes()
         for batch in batches:
-            n, keys, bands, counts, maps = [], [], [], [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py(), hashes, size)
-                n.append(len(s))
-                if len(s):
-                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    bands.append(band_keys(samples(s)))
-                    count, bitmap = sketch(s)
-                    counts.append(count)
-                    maps.append(bitmap)
-                else:
-                    for column in (keys, bands, counts, maps):
-                        column.append(None)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(counts, pa.int64()), pa.array(maps, longs)], ["doc_id", "n", "key", "bands", "samples", "sketch"])
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                n, keys, least, counts, maps = [], [], [], [], []
+                for text in part.column(1):
+                    s = shingles(text.as_py(), size)
+                    n.append(len(s))
+                    if len(s):
+                        keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                        least.append(samples(s))
+                        count, bitmap = sketch(s)
+                        counts.append(count)
+                        maps.append(bitmap)
+                full = np.array(n) > 0
+                at = np.cumsum(full) - 1
+                take = pa.array(at, mask=~full)
+                some = (keys, list(band_keys(np.array(least).reshape(-1, SAMPLES))), counts, maps)
+                kinds = (pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
+                made = [pa.array(x, k).take(take) for x, k in zip(some, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *made], ["doc_id", "n", "key", "bands", "samples", "sketch"])
 
     return docs.mapInArrow(rows, "doc_id long, n long, key binary, bands array<long>, samples long, sketch array<long>")
 
@@ -165,51 +214,178 @@ def components(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) that sizes and sketches don't rule out; the same rules as in ``_closest``, as expressions."""
-    side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("samples").alias(f"m_{c}"), F.col("sketch").alias(f"s_{c}"))
-    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, c: t + c)
-    unlike = F.log(F.greatest(F.lit(1e-9), 1 - 2 * differ / BITS)) * (-BITS / 2)
-    share = percent / 100
-    union = (F.col("n_a") + F.col("n_b")) / (1 + share)  # at the least similarity that links; it is smaller above
-    filled = F.expm1(-union / BINS) * -BINS
-    found = (F.col("m_a") + F.col("m_b") - unlike) / 2 / filled
-    deviation = F.sqrt(share * (1 - share) / filled * F.greatest(F.lit(0.0), 1 - filled / union) + 1e-4)
-    joined = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
-    joined = joined.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    return joined.where(found >= share - 5 * deviation - 2 / filled).select("a", "b")
+def grown(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after links (a, b) between roots; a node that no link has reached yet has no row."""
+    found = components(links)
+    if roots is None:
+        return found
+    moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    fresh = found.join(roots.select("node"), "node", "left_anti")
+    return materialise(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(fresh.select("node", "root")), "roots")
 
 
-def _families(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with ``g``, the group that confirms them: those of a leader b, at most about FAMILY each."""
+# What a confirming group gets, by kind: 0 a set it needs (a), 1 a class (a, of the component root) and those it may be linked with.
+ASKS = "g long, kind int, a long, root long, bs array<long>, roots array<long>"
+
+
+def _asks(rows: list[tuple]) -> pa.RecordBatch:
+    longs = pa.list_(pa.int64())
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), longs, longs)
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in ASKS.split(", ")])
+
+
+def _led(pairs: DataFrame, percent: int) -> DataFrame:
+    """ASKS of pairs (a, leader b) that sizes and sketches don't rule out, at most about FAMILY in a group.
+
+    pairs: a, b, root_a, root_b and, of both, n, samples (m) and sketch (s).
+    """
+    columns = ("a", "b", "root_a", "root_b", "n_a", "n_b", "m_a", "m_b", "salt")
+
+    def look(batches):
+        for batch in batches:
+            a, b, root_a, root_b, n, m, x, y, salt = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns)
+            bits = [batch.column(batch.schema.get_field_index(c)).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS) for c in ("s_a", "s_b")]
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64) if len(a) else np.zeros(0, np.int64)
+            near = np.flatnonzero(may_link(differ, n, m, x + y, percent))
+            g = _mix(b.view(np.uint64) * P + salt.astype(np.uint64)).view(np.int64)
+            made = [(int(g[i]), 1, int(a[i]), int(root_a[i]), [int(b[i])], [int(root_b[i])]) for i in near]
+            yield _asks(made + [(int(g[i]), 0, int(x), None, None, None) for i in near for x in (a[i], b[i])])
+
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("salts"))
-    return pairs.join(sizes, "b").select(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("salts"))).alias("g"), "a", "b")
+    salted = pairs.hint("merge").join(sizes, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
+    return salted.select(*columns, "s_a", "s_b").mapInArrow(look, ASKS)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key together; ``batches`` come sorted by ``keys``."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+        if not rows.num_rows:
+            continue
+        k = np.stack([rows[c].to_numpy() for c in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist()]
+        for i, j in zip(cuts, cuts[1:]):
+            yield rows.slice(i, j - i)
+        held = rows.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
 
 
-def _users(pairs: DataFrame) -> DataFrame:
-    """(node, g): the groups in which each set is needed."""
-    return pairs.select(F.col("a").alias("node"), "g").unionByName(pairs.select(F.col("b").alias("node"), "g")).distinct()
+def has_pair(a: int, b: np.ndarray) -> np.ndarray:
+    """Whether class a, not b, asks for the pair where both ask: about half of the pairs of every class."""
+    return (a < b) == (np.bitwise_count(a ^ b) % 2 == 1)
 
 
-def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among pairs (g, a, b), on the full sets (g, node, shingles); each group gets a set once."""
+def _meet(dealt: DataFrame, low: int, high: int | None, percent: int) -> DataFrame:
+    """ASKS of the classes that ask: those of other components that they may be linked with, ranked low to high.
+
+    dealt: (band, mine, yours, block, node, root, n, samples, sketch, bands, asks), where blocks mine and yours of the band's
+    bucket meet. Ranks go by differing bits, then node, among all that the class has in the block, so they are the same in
+    every round; of two classes that ask, one has the pair (``has_pair``). A pair belongs to the first band that both have in
+    common, and is made there only.
+    """
+
+    def asked(t: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(place of a class that asks, places of those it asks for, closest first)."""
+        node, root, n, m, block, asks = (t[c].to_numpy() for c in ("node", "root", "n", "samples", "block", "asks"))
+        flat = lambda c, width: t[c].chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        sketch, bands = flat("sketch", WORDS).view(np.uint64), flat("bands", BANDS)
+        band = int(np.flatnonzero(bands[0] == t["band"][0].as_py())[0])
+        for i in np.flatnonzero(asks):
+            other = ~asks | has_pair(node[i], node)
+            other &= (node != node[i]) if t["mine"][0] == t["yours"][0] else (block != block[i])
+            has = np.flatnonzero(other)
+            if len(has) <= low or (root[has] == root[i]).all():
+                continue
+            differ = np.bitwise_count(sketch[has] ^ sketch[i]).sum(1, dtype=np.int64)
+            order = np.argsort(differ, kind="stable")[low:high]
+            at, differ = has[order], differ[order]
+            near = root[at] != root[i]
+            near &= may_link(differ, n[at], n[i], m[at] + m[i], percent)
+            near &= ~(bands[at, :band] == bands[i, :band]).any(1)
+            if near.any():
+                yield i, at[near]
+
+    def meet(batches):
+        for t in _groups(batches, ("band", "mine", "yours")):
+            t = t.sort_by("node").combine_chunks()
+            if t.num_rows < 2:
+                continue
+            node, root, n = (t[c].to_numpy() for c in ("node", "root", "n"))
+            key = f"{t['band'][0]} {t['mine'][0]} {t['yours'][0]}"
+            made: list[tuple] = []
+            needs: set[int] = set()
+            held = count = number = 0
+
+            def close():
+                nonlocal needs, held, count, number
+                g = xxhash.xxh64_intdigest(f"{key} {number}") >> 1
+                made.extend((g, 0, int(node[j]), None, None, None) for j in needs)
+                needs, held, count, number = set(), 0, 0, number + 1
+                return g
+
+            rows: list[list] = []
+            for i, at in asked(t):
+                start = 0
+                for end in range(1, len(at) + 1):
+                    new = {int(i), int(at[end - 1])} - needs
+                    needs |= new
+                    held += int(n[list(new)].sum())
+                    if held >= HELD or end == len(at):
+                        rows.append([number, 1, int(node[i]), int(root[i]), node[at[start:end]], root[at[start:end]]])
+                        start = end
+                        count += 1
+                    if held >= HELD or count >= ASKING:
+                        g = close()
+                        made.extend((g, *r[1:]) for r in rows)
+                        rows = []
+            if rows:
+                g = close()
+                made.extend((g, *r[1:]) for r in rows)
+            if made:
+                yield _asks(made)
+
+    return dealt.repartition("band", "mine", "yours").sortWithinPartitions("band", "mine", "yours").mapInArrow(meet, ASKS)
+
+
+def _confirm(asks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between roots, on the full sets (node, shingles); a group gets a set once.
+
+    Pairs of classes whose components a link has joined before within the group aren't looked at again.
+    """
 
     def check(batches):
-        group, held = None, {}
+        group, held, up = None, {}, {}
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
         for batch in batches:
             found = []
-            for g, kind, a, b, s in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
-                if g != group:
-                    group, held = g, {}
-                if not kind:
-                    held.setdefault(a, []).append(s.values.to_numpy(zero_copy_only=False))
-                elif any(similar(x, y, percent) for x in held.get(a, ()) for y in held.get(b, ())):
-                    found.append((a, b))
+            g, kind, a, root = (batch.column(i).to_pylist() for i in range(4))
+            for i in range(batch.num_rows):
+                if g[i] != group:
+                    group, held, up = g[i], {}, {}
+                if not kind[i]:
+                    held.setdefault(a[i], []).append(batch.column(6)[i].values.to_numpy(zero_copy_only=False))
+                    continue
+                for b, b_root in zip(batch.column(4)[i].as_py(), batch.column(5)[i].as_py(), strict=True):
+                    x, y = top(root[i]), top(b_root)
+                    if x != y and any(similar(s, t, percent) for s in held.get(a[i], ()) for t in held.get(b, ())):
+                        found.append((root[i], b_root))
+                        up[max(x, y)] = min(x, y)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
+    need = asks.where("kind = 0").select("g", "kind", F.col("a").alias("node")).distinct()
     none = F.lit(None)
-    rows = sets.select("g", F.lit(0).alias("kind"), F.col("node").alias("a"), none.cast("long").alias("b"), "shingles")
-    rows = rows.unionByName(pairs.select("g", F.lit(1).alias("kind"), "a", "b", none.cast("array<long>").alias("shingles")))
+    longs = none.cast("array<long>")
+    given = need.hint("merge").join(sets, "node").select("g", "kind", F.col("node").alias("a"), none.cast("long").alias("root"), longs.alias("bs"), longs.alias("roots"), "shingles")
+    rows = given.unionByName(asks.where("kind = 1").withColumn("shingles", longs))
     return rows.repartition("g").sortWithinPartitions("g", "kind").mapInArrow(check, "a long, b long")
 
 
@@ -223,137 +399,72 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(s) + len(t) - both)
 
 
-def _sets(texts: DataFrame, size: int, columns: list[str]) -> DataFrame:
-    """``columns`` and the shingle set (as signed numbers, in signed order) of each row's text."""
-    fields = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in columns)
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of each row (node, text): the set as signed numbers, in signed order."""
 
     def rows(batches):
-        hashes = WordHashes()
         for batch in batches:
-            kept = batch.select(columns)
             for i in range(0, batch.num_rows, 500):
-                made = [np.sort(shingles(t.as_py(), hashes, size).view(np.int64)) for t in batch.column(len(columns))[i : i + 500]]
-                yield pa.RecordBatch.from_arrays([*kept.slice(i, 500).columns, pa.array(made, pa.list_(pa.int64()))], [*columns, "shingles"])
-
-    return texts.select(*columns, "text").mapInArrow(rows, f"{fields}, shingles array<long>")
-
-
-def has_pair(a: int, b: np.ndarray) -> np.ndarray:
-    """Whether class a, not b, asks for the pair where both ask: about half of the pairs of every class."""
-    return (a < b) == (np.bitwise_count(a ^ b) % 2 == 1)
-
-
-def _closest(asking: DataFrame, others: DataFrame, low: int, high: int, percent: int) -> DataFrame:
-    """Pairs (g, a, b) of different components: for each asking class those of the other side's block ranked low to high.
-
-    asking and others: (band, block of the one, block of the other, node, root, n, samples, sketch, bands); others also have
-    ``asks``. Of two classes that ask, one has the pair (``has_pair``). Ranks go by differing bits, then node, among all that the
-    class has in the block, so they are the same in every round. A pair belongs to the first band that both have in common,
-    and is made there only; ``g`` stands for the blocks' group.
-    """
-    keys = ["band", "mine", "yours"]
-
-    def rank(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out_a, out_b = [], []
-        if left.num_rows and right.num_rows:
-            bits = lambda c: np.array(c.to_pylist(), np.int64).reshape(-1, WORDS).view(np.uint64)
-            right = right.sort_by("r_node")
-            a, a_root, a_n, a_m = (left[c].to_numpy() for c in ("node", "root", "n", "samples"))
-            b, b_root, b_n, b_m = (right[f"r_{c}"].to_numpy() for c in ("node", "root", "n", "samples"))
-            x, y = bits(left["sketch"]), bits(right["r_sketch"])
-            bands = lambda c: np.array(c.to_pylist(), np.int64).reshape(-1, BANDS)
-            a_bands, b_bands = bands(left["bands"]), bands(right["r_bands"])
-            silent = ~right["r_asks"].to_numpy()
-            band = int(np.flatnonzero(a_bands[0] == key[0].as_py())[0])
-            for i in range(len(a)):
-                has = np.flatnonzero(silent | has_pair(a[i], b))
-                if len(has) <= low or (b_root[has] == a_root[i]).all():
-                    continue
-                differ = np.bitwise_count(y[has] ^ x[i]).sum(1, dtype=np.int64)
-                order = np.argsort(differ, kind="stable")[low:high]
-                ranked, differ = has[order], differ[order]
-                union = (a_n[i] + b_n[ranked]) / (1 + percent / 100)
-                near = (b_root[ranked] != a_root[i]) & (100 * np.minimum(b_n[ranked], a_n[i]) >= percent * np.maximum(b_n[ranked], a_n[i]))
-                near &= estimate(differ, a_m[i] + b_m[ranked], union) >= least_similarity(union, percent)
-                near &= ~(b_bands[ranked, :band] == a_bands[i, :band]).any(1)
-                out_a += [a[i]] * int(near.sum())
-                out_b += b[ranked[near]].tolist()
-        return pa.table({"a": pa.array(np.maximum(out_a, out_b), pa.int64()), "b": pa.array(np.minimum(out_a, out_b), pa.int64()), "g": pa.array([key_hash(key)] * len(out_a), pa.int64())})
+                part = batch.slice(i, 500)
+                made = [np.sort(shingles(t.as_py(), size).view(np.int64)) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    def key_hash(key) -> int:
-        return xxhash.xxh64_intdigest(repr([k.as_py() for k in key])) >> 1
-
-    others = others.select(*(F.col(c).alias(f"r_{c}") for c in (*keys, "node", "root", "n", "samples", "sketch", "bands", "asks")))
-    found = asking.groupBy(*keys).cogroup(others.groupBy(*(f"r_{c}" for c in keys))).applyInArrow(rank, "a long, b long, g long")
-    return found.groupBy("a", "b").agg(F.min("g").alias("g"))
+    return texts.select("node", "text").mapInArrow(rows, "node long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
+    """(doc_id, n_shingles, component_id, kept) of every row; an empty table gives no rows.
 
     Linked are rows with 100 * shared shingles >= ``percent`` * all shingles of both. Null and empty texts, and texts of white
     space, have empty sets and are linked with nothing; rows without doc_id keep a null component and stay. Rows that share
-    a doc_id are one document. At a similarity of 0.75 the bands miss a pair with a chance of 5 in a million.
+    a doc_id are one document, linked with whatever one of them is. Other columns are not looked at. At a similarity of 0.75
+    the bands miss a pair with a chance of 5 in a million, and sketches with one of 3 in ten million.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(signatures(texts, size), "signatures")
     classes = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n", "bands", "samples", "sketch"), "doc_id").alias("x"))
     classes = materialise(classes.select("key", "node", "x.*"), "classes")
-    sketches = classes.select("node", "n", "samples", "sketch")
     rows = classes.select("node", F.explode("bands").alias("band")).distinct()
     first = rows.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
     buckets = materialise(rows.join(first, "band"), "buckets")
-
-    def verify(pairs: DataFrame, sets: DataFrame | None) -> DataFrame:
-        """Links among the pairs (g, a, b); sets (node, shingles), or None: from the texts."""
-        pairs = materialise(pairs, "pairs")
-        users = _users(pairs)
-        if sets is None:
-            held = users.groupBy("node").agg(F.collect_list("g").alias("groups"))
-            own = _sets(texts.join(held.hint("merge"), texts.doc_id == held.node), size, ["node", "groups"])
-            own = own.select("node", "shingles", F.explode("groups").alias("g"))
-        else:
-            own = users.hint("merge").join(sets, "node")
-        return materialise(_confirm(own, pairs, percent), "links")
-
-    def unite(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Roots of all linked classes, and the buckets that still hold several components: (band, node, root)."""
-        roots = components(links)
-        seen = buckets.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    nodes = buckets.select("node").distinct()
+    held = materialise(classes.drop("key").hint("merge").join(nodes, "node"), "held")
+    sets = materialise(shingle_sets(texts.hint("merge").join(nodes, texts.doc_id == nodes.node), size), "sets")
+    a_side, b_side = (held.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("samples").alias(f"m_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+    sides = lambda pairs: pairs.hint("merge").join(a_side, "a").hint("merge").join(b_side, "b")
+
+    def verify(asks: DataFrame) -> DataFrame:
+        return materialise(_confirm(materialise(asks, "asks"), sets, percent), "links")
+
+    def still_split(before: DataFrame, roots: DataFrame) -> DataFrame:
+        """(band, node, root) of the buckets that still hold several components."""
+        seen = before.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
         split = seen.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        return roots, materialise(seen.join(split.select("band"), "band"), "split")
+        return materialise(seen.join(split.select("band"), "band"), "split")
 
-    led = buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    links = verify(_families(_near(led, sketches, percent)), None)
-    roots, split = unite(links)
+    led = buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("node").alias("root_a"), F.col("leader").alias("root_b")).distinct()
+    roots = grown(None, verify(_led(sides(led), percent)))
+    split = still_split(buckets, roots)
     if split.head(1):
-        wanted = split.select("node").distinct()
-        sets = materialise(_sets(texts.join(wanted.hint("merge"), texts.doc_id == wanted.node), size, ["node"]), "sets")
         last = split.groupBy("band").agg(F.max(F.struct("node", "root")).alias("l"))
-        pairs = split.join(last, "band").where("root <> l.root").select(F.col("node").alias("a"), F.col("l.node").alias("b")).distinct()
-        links = links.unionByName(verify(_families(_near(pairs, sketches, percent)), sets))
-        roots, split = unite(links)
-        low, high = 0, FIRST
-        # fixed for all rounds: a bucket keeps its classes while it is split, and of each pair of different roots one class asks
-        sizes = split.groupBy("band").agg(F.count("*").alias("held"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        pairs = split.join(last, "band").where("root <> l.root").select(F.col("node").alias("a"), F.col("l.node").alias("b"), F.col("root").alias("root_a"), F.col("l.root").alias("root_b"))
+        roots = grown(roots, verify(_led(sides(pairs.distinct()), percent)))
+        split = still_split(split, roots)
+        # fixed for both rounds: a bucket keeps its classes while it is split, and of each pair of different roots one class asks
+        sizes = split.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         largest = split.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m")).select("band", F.col("m.root").alias("main"))
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-        placed = materialise(split.join(sizes, "band").join(largest, "band").select("band", "node", "held", "blocks", block, (F.col("root") != F.col("main")).alias("asks")), "placed")
-        while True:
-            held = split.join(placed, ["band", "node"])
-            most = held.agg(F.max(F.when(F.col("blocks") == 1, F.col("held")).otherwise(2 * BLOCK))).head()[0] or 0
-            if low >= most:  # no bucket is split, or every block has been ranked to its end
-                break
-            dealt = held.drop("held").join(classes.drop("key"), "node")
-            all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-            asking = dealt.where("asks").select("band", F.col("block").alias("mine"), all_blocks.alias("yours"), "node", "root", "n", "samples", "sketch", "bands")
-            others = dealt.select("band", all_blocks.alias("mine"), F.col("block").alias("yours"), "node", "root", "n", "samples", "sketch", "bands", "asks")
-            links = links.unionByName(verify(_closest(asking, others, low, high, percent), sets))
-            roots, split = unite(links)
-            low, high = high, high * 8
+        placed = split.join(sizes, "band").join(largest, "band").select("band", "node", "blocks", block, (F.col("root") != F.col("main")).alias("asks"))
+        placed = materialise(placed.hint("merge").join(held, "node"), "placed")
+        meeting = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        for low, high in ((0, FIRST), (FIRST, None)):
+            dealt = placed.hint("merge").join(split, ["band", "node"]).select("*", meeting)
+            dealt = dealt.withColumns({"mine": F.least("block", "other"), "yours": F.greatest("block", "other")}).drop("blocks", "other")
+            roots = grown(roots, verify(_meet(dealt, low, high, percent)))
+            if high is not None:
+                split = still_split(split, roots)
     named = classes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
     # a root is the smallest of its nodes, and a node the smallest doc_id of its class
     out = signed.select("doc_id", "n", "key").join(named, "key", "left")
-    component = F.coalesce("component_id", "doc_id")
-    component = F.when(F.col("doc_id").isNotNull(), component)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
