@@ -10,6 +10,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 
 Plan = list[tuple[tuple[int, ...], int]]
+SMALL = 6  # items in fillings that are tested for dominance
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
@@ -71,52 +72,64 @@ def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
 
 
 def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int, steps: int, width: int, waste: int) -> list[tuple[int, ...]]:
-    """Undominated maximal fillings of ``room`` that leave at most ``waste`` free, the least waste and largest items first."""
+    """Undominated maximal fillings of ``room`` that leave at most ``waste`` free, the least waste and largest items first.
+
+    Enumeration takes the largest items first, but an item that fills the room left exactly before all others: such a
+    filling dominates every other one with the same items before it. It is complete where it ends within ``steps``.
+    """
     found: list[tuple[int, ...]] = []
-    todo = [steps]
+    todo = steps
 
     def grow(taken: tuple[int, ...], free: int, upto: int) -> None:
-        i = bisect_right(lengths, min(free, upto)) - 1
+        nonlocal todo
+        todo -= 1
+        if 0 < free <= upto and counts.get(free, 0) > taken.count(free):
+            found.append((*taken, free))
+            return
         went = False
-        while i >= 0 and todo[0] > 0 and not (found and sum(found[-1]) == room):
+        for i in range(bisect_right(lengths, min(free, upto)) - 1, -1, -1):
             x = lengths[i]
             if counts[x] > taken.count(x):
                 went = True
-                todo[0] -= 1
+                if todo <= 0:
+                    break
                 grow((*taken, x), free - x, x)
-            i -= 1
         if not went and free <= waste:
             found.append(taken)
 
     grow((), room, most)
     kept: list[tuple[int, ...]] = []
     for f in sorted(set(found), key=lambda f: (-sum(f), [-x for x in f])):
-        if len(kept) < width and not (len(f) <= 6 and any(dominated(f, k) for k in kept)):
+        if len(kept) < width and not (len(f) <= SMALL and any(dominated(f, k) for k in kept)):
             kept.append(f)
     return kept
 
 
-def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000, steps: int = 120, width: int = 4) -> Plan:
+def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000, steps: int = 300, width: int = 8) -> Plan:
     """Fewest bins found for the histogram.
 
-    Best-fit decreasing gives the first incumbent. The search then fills bins around the largest item left: it lists
-    undominated fillings of the room beside it, tries them in order of waste, and cuts a branch once the waste so far
-    leaves no room for a better total. It ends at the volume bound, or after ``nodes`` nodes with the best incumbent.
-    A filling is used for as many bins as its items allow at once.
+    Best-fit decreasing gives the incumbent. The search fills bins around the largest item left: it lists undominated
+    fillings of the room beside it, tries them in order of waste, and cuts a branch once the waste so far leaves no room for
+    a better total (or, until it has a plan of its own, an equal one). It ends with a plan of its own at the volume bound,
+    else after ``nodes`` nodes with the best plan known. A filling is used for as many bins as its items allow at once.
+
+    Every item is packed whatever the limits are. They bound how much of the tree is seen: ``steps`` of enumeration and
+    ``width`` fillings at a node, dominance between fillings of up to SMALL items, ``nodes`` nodes. So the plan is proven
+    optimal where it meets the bound or the tree ends before them, and else at most as large as best-fit decreasing's.
     """
     counts = {int(k): int(n) for k, n in counts.items() if n > 0}
     if any(k < 1 or k > capacity for k in counts):
         raise ValueError("lengths must lie between 1 and the capacity")
     total = sum(k * n for k, n in counts.items())
     bound = max(-(-total // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
-    best = best_fit(counts, capacity)
+    best, own = best_fit(counts, capacity), False
     size = sum(n for _, n in best)
     plan: Plan = []
     stack: list[tuple] = [(counts, sorted(counts), 0, 0, 0, ())]
-    while stack and size > bound and nodes:
+    while stack and nodes and (size > bound or not own):
         left, lengths, bins, waste, depth, pattern = stack.pop()
         del plan[depth:]
-        allowed = (size - 1) * capacity - total - waste  # what may still be left free, if this is to beat the incumbent
+        allowed = (size - own) * capacity - total - waste  # what may still be left free, if this is to be kept
         if pattern:
             need, free = Counter(pattern), capacity - sum(pattern)
             times = min(left[x] // n for x, n in need.items())
@@ -131,8 +144,8 @@ def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000, steps:
             lengths = [x for x in lengths if left[x]]
             bins, waste, depth, allowed = bins + times, waste + free * times, depth + 1, allowed - free * times
         if not lengths:
-            if bins < size:
-                best, size = plan.copy(), bins
+            if bins < size or not own and bins == size:
+                best, size, own = plan.copy(), bins, True
             continue
         nodes -= 1
         large = lengths[-1]
