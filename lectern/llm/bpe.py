@@ -104,35 +104,39 @@ def join_runs(encoder: ByteEncoder, data: bytes, runs: list[tuple[int, int, arra
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, chunk, key) of every chunk of every non-empty text; key is 128 bits of the chunk's hash."""
+    """(doc, row, chunk, key) of every chunk of every non-empty text (doc, row, text); key is 128 bits of the chunk's hash."""
 
     def rows(batches):
         for batch in batches:
-            ids, no, keys = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            docs, ids, no, keys = [], [], [], []
+            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = (text.as_py() or "").encode()
                 found = keys_of(data, cut_points(data))
-                ids += [doc_id] * len(found)
+                docs += [doc] * len(found)
+                ids += [row] * len(found)
                 no += range(len(found))
                 keys += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "chunk", "key"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((docs, ids, no, keys), kinds, strict=True)], ["doc", "row", "chunk", "key"])
 
-    return docs.mapInArrow(rows, "doc_id long, chunk int, key binary")
+    return docs.mapInArrow(rows, "doc long, row long, chunk int, key binary")
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every row, as the tokenizer gives without added special tokens.
 
-    Null and empty texts have no ids. Rows that repeat, or share a doc_id, are told apart by a row key made of doc_id and
-    text, so each comes out with its own ids. Very long texts are encoded chunk by chunk. A chunk in a third of all
+    Null and empty texts have no ids. Rows that share a doc_id, or have none, are told apart by a hash of their text beside
+    it, so each comes out with its own ids; rows that repeat whole come out as often. Very long texts are encoded chunk by chunk. A chunk in a third of all
     documents is one key of a join that Spark may split; its ids are counted and owned through partial aggregates.
     """
     path = tokenizer or default_path("byte_bpe_50k.json")
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")  # a row key, never null
-    held = materialise(chunk_rows(keyed.select("row", "text")).withColumnRenamed("doc_id", "row"), "chunks")
-    shared = held.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("row", "chunk")).alias("owner")).where("n > 1").select("key", "owner")
+    row = ["doc", "row"]  # a row key: the hash need only tell the texts of one doc_id apart
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    keyed = docs.select(doc.alias("doc"), F.xxhash64("text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = materialise(chunk_rows(keyed.select(*row, "text")), "chunks")
+    shared = held.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(*row, "chunk")).alias("owner")).where("n > 1").select("key", "owner")
     shared = materialise(shared, "shared")
-    owned = shared.groupBy(F.col("owner.row").alias("row")).agg(F.collect_list(F.col("owner.chunk")).alias("chunks"))
+    owned = shared.groupBy(F.col("owner.doc").alias("doc"), F.col("owner.row").alias("row")).agg(F.collect_list(F.col("owner.chunk")).alias("chunks"))
 
     def encode_owned(batches):
         encoder = byte_encoder(path)
@@ -148,9 +152,9 @@ def bpe_encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.binary())], ["key", "ids"])
 
     # The keyed texts are dealt by row once: both joins below read the same exchange.
-    book = keyed.join(owned, "row").select("doc_id", "text", "chunks").mapInArrow(encode_owned, "key binary, ids binary")
+    book = keyed.join(owned, row).select("doc_id", "text", "chunks").mapInArrow(encode_owned, "key binary, ids binary")
     book = book.groupBy("key").agg(F.min("ids").alias("ids"))
-    given = held.join(book, "key").groupBy("row").agg(F.array_distinct(F.collect_list(F.struct("chunk", "ids"))).alias("given"))
+    given = held.join(book, "key").groupBy(*row).agg(F.array_distinct(F.collect_list(F.struct("chunk", "ids"))).alias("given"))
 
     def encode_rest(batches):
         encoder = byte_encoder(path)
@@ -173,7 +177,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             if out_id:
                 yield _ids_batch(out_id, out_ids)
 
-    return keyed.join(given, "row", "left").select("doc_id", "text", "given").mapInArrow(encode_rest, "doc_id long, ids array<int>")
+    return keyed.join(given, row, "left").select("doc_id", "text", "given").mapInArrow(encode_rest, "doc_id long, ids array<int>")
 
 
 def _runs(encoder: ByteEncoder, data: bytes, known: dict[int, bytes]):

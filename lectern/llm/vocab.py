@@ -25,6 +25,25 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _require(spec: dict, path: str, **wanted) -> None:
+    """Refuses tokenizer files whose parts differ from those that the encoders reproduce, or whose merges don't follow their ids."""
+    model = spec["model"]
+    plain = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+    given = {k: spec.get(k) for k in wanted} | {k: model.get(k) for k in plain}
+    if model.get("type") != "BPE" or given != wanted | plain:
+        raise ValueError(f"{path}: a tokenizer of another kind: {given}")
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
+        raise ValueError(f"{path}: added tokens with conditions")
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    made = [model["vocab"].get("".join(m), -1) for m in pairs]
+    if any(a >= b for a, b in zip([-1, *made], made)):
+        raise ValueError(f"{path}: merges that don't follow the ids")
+
+
+LETTERS_AND_DIGITS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+
+
 class WordEncoder:
     """Token ids of a lower-casing word BPE, as little-endian 32-bit bytes.
 
@@ -38,6 +57,11 @@ class WordEncoder:
         import tiktoken
 
         spec = json.load(open(path, encoding="utf-8"))
+        pattern = f"{CONTRACTIONS}|{LETTERS_AND_DIGITS}"
+        cut = {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed", "invert": True}
+        rest = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        normal = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+        _require(spec, path, normalizer={"type": "Sequence", "normalizers": normal}, pre_tokenizer={"type": "Sequence", "pretokenizers": [cut, rest]})
         alphabet, suffix, ranks = byte_alphabet(), spec["model"]["end_of_word_suffix"], {}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for token, i in spec["model"]["vocab"].items():
@@ -46,7 +70,7 @@ class WordEncoder:
             ends = token.endswith(suffix)
             ranks[bytes(alphabet[c] for c in token.removesuffix(suffix)) + (END if ends else b"")] = i
         self.core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.pieces = regex.compile(pattern).findall
         self.special, self.cut = special, re.compile("(" + "|".join(map(re.escape, special)) + ")")
         self.cache_words, self.cache = cache_words, {}
 
@@ -85,17 +109,24 @@ class WordEncoder:
 
 
 class ByteEncoder:
-    """Token ids of a byte-level BPE; the special tokens' strings in a text become their ids."""
+    """Token ids of a byte-level BPE; the special tokens' strings in a text become their ids.
+
+    Ids are kept as 16-bit numbers, so a vocabulary beyond them is refused, as is a file with another cutting pattern.
+    """
 
     def __init__(self, path: str):
         import numpy as np
         import tiktoken
 
         spec = json.load(open(path, encoding="utf-8"))
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        _require(spec, path, normalizer=None, pre_tokenizer=level)
+        if max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) > 0xFFFF or spec["model"].get("end_of_word_suffix"):
+            raise ValueError(f"{path}: ids beyond 65535, or marks at the ends of words")
         alphabet = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        pattern = rf"{CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"
         self.coder = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
         self.table = {i: b for b, i in ranks.items()} | {i: s.encode() for s, i in self.special.items()}
         self.widths = np.zeros(max(self.table) + 1, np.int64)
