@@ -47,7 +47,7 @@ def op8_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.resolve_revisits(warc.pages_to_warc(table(spark, sf_dir, "pages")))
+    return warc.resolve_revisits(warc.pages_to_warc(table(spark, sf_dir, "pages"), version=None))
 
 
 def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:

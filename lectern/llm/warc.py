@@ -1,9 +1,10 @@
 """Legacy ARC archives, and their conversion to WARC (operator 9).
 
-``write_arc`` stores pages as ARC files of version 1 or 2, one gzip member a record. ``convert`` reads each record by the
-header line of its file's version and its declared length, and writes the equivalent WARC record: identifier, date, type
-and digests are synthesised from the ARC record's place, 14-digit date and payload. ``read_warc`` parses WARC archives.
-Payloads travel through the archives only; what Spark shuffles are index rows.
+``scan_arc`` reads archives of either version, plain or gzip, made by anyone: the version block names the fields of header
+lines, each header line declares its record's length. ``write_arc`` makes such archives from pages. ``convert`` writes the
+equivalent WARC record of every ARC record: identifier, date, type and digests are synthesised from the record's place, its
+14-digit date, its URL and its payload. ``read_records`` reads WARC records by range, ``read_warc`` whole archives. Payloads
+travel through the archives only; what Spark shuffles are index rows, dealt over tasks by the bytes that they stand for.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,20 @@ ARC_FIELDS = {
 }
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space of URLs
-INDEX = "page_id long, shard string, offset long, length long, payload_bytes long, digest binary"
+# A record lies at inner .. inner + size of the unpacked gzip member at offset .. offset + length, or there in a plain file.
+PLACE = "shard string, offset long, length long, inner long, size long, packed boolean, version int"
+INDEX = f"page_id long, {PLACE}, payload_bytes long, digest binary"
 RECORDS = "page_id long, record_id string, record_type string, target string, date string, payload_bytes long, payload_digest string, refers_to_id string"
+WRITTEN = "page_id long, path string, offset long, length long"
+TASK_BYTES, LEAST_BYTES = 128_000_000, 4_000_000
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """``rows`` as columns of ``schema`` ("name type, ...")."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
 def gzip_member(data: bytes, level: int = 1) -> bytes:
@@ -43,11 +58,12 @@ def gunzip(data: bytes) -> bytes:
 
 def arc_url(url: str | None) -> str:
     """A URL fit for a space-separated header line: blanks and control bytes become percent escapes."""
-    return re.sub(r"[\x00-\x20\x7f\x85  \xa0]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "about:blank")
+    return re.sub(r"[\x00-\x20\x7f\x85\u2028\u2029\xa0]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "about:blank")
 
 
 def arc_record(version: int, url: str, date: str, kind: str, content: bytes, name: str, offset: int, ip: str = "0.0.0.0") -> bytes:
-    values = {"URL": url, "IP-address": ip, "Archive-date": date, "Content-type": kind, "Archive-length": str(len(content)), "Result-code": "200", "Checksum": hashlib.md5(content).hexdigest(), "Location": "-", "Offset": str(offset), "Filename": name}
+    values = {"URL": url, "IP-address": ip, "Archive-date": date, "Content-type": kind, "Archive-length": str(len(content)), "Result-code": "200"}
+    values |= {"Checksum": hashlib.md5(content).hexdigest(), "Location": "-", "Offset": str(offset), "Filename": name}
     return " ".join(values[f] for f in ARC_FIELDS[version]).encode() + b"\n" + content + b"\n"
 
 
@@ -63,34 +79,39 @@ def parse_version_block(data: bytes) -> tuple[int, tuple[str, ...]]:
     lines = data.split(b"\n")
     if not lines[0].startswith(b"filedesc://") or len(lines) < 3:
         raise ValueError("not an ARC version block")
-    version, fields = int(lines[1].split()[0]), tuple(lines[2].decode().split())
+    version, fields = int(lines[1].split()[0]), tuple(lines[2].decode("latin-1").split())
     if fields != ARC_FIELDS.get(version):
         raise ValueError(f"unknown ARC version {version} with fields {fields}")
     return version, fields
 
 
+def parse_header(fields: tuple[str, ...], line: bytes) -> dict[str, str]:
+    """The values of a header line; what stands before the last ones is the URL, blanks and all."""
+    values = line.decode("utf-8", "replace").rstrip("\r").rsplit(" ", len(fields) - 1)
+    if len(values) != len(fields) or not values[-1].isdecimal():
+        raise ValueError(f"not a header line of {len(fields)} fields: {line[:200]!r}")
+    return dict(zip(fields, values, strict=True))
+
+
 def parse_arc_record(fields: tuple[str, ...], data: bytes) -> tuple[dict[str, str], bytes]:
     """Header values and content of one record; its declared length must be there, with a line end after it."""
     line, _, rest = data.partition(b"\n")
-    values = line.decode().split(" ")
-    if len(values) != len(fields):
-        raise ValueError(f"{len(values)} header fields instead of {len(fields)}")
-    head = dict(zip(fields, values, strict=True))
+    head = parse_header(fields, line)
     size = int(head["Archive-length"])
-    if len(rest) < size or rest[size : size + 1] not in (b"\n", b""):
+    if len(rest) < size or rest[size : size + 1] not in (b"\n", b"\r", b""):
         raise ValueError("the declared length doesn't fit")
     return head, rest[:size]
 
 
 def iso_date(date: str) -> str:
     """14 digits (or fewer, the rest being lowest) as a WARC date."""
-    d = date + "00000101000000"[len(date) :]
+    d = date[:14] + "00000101000000"[len(date[:14]) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(shard: str, offset: int) -> str:
+def record_id(shard: str, offset: int, inner: int = 0) -> str:
     """The WARC identifier that stands for an ARC record, from the archive's name and the record's place in it."""
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{shard.rpartition('/')[2]}#{offset}')}>"
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{shard.rpartition('/')[2]}#{offset}' + (f'+{inner}' if inner else ''))}>"
 
 
 def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -98,7 +119,7 @@ def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def parse_warc(data: bytes):
+def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of every record of one unpacked WARC member."""
     at = 0
     while at < len(data):
@@ -115,36 +136,48 @@ def parse_warc(data: bytes):
         at = end + 4 + size + 4
 
 
-def members(read, size: int, step: int = 4_000_000):
-    """The unpacked gzip members of a file, one at a time; read(offset, length) gives bytes."""
-    packer, parts, at, held = zlib.decompressobj(31), [], 0, b""
+def members(read, size: int, step: int = 4_000_000) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, unpacked bytes) of the gzip members of a file, one at a time; read(offset, length) gives bytes."""
+    packer, parts, at, held, start = zlib.decompressobj(31), [], 0, b"", 0
     while held or at < size:
         if not held:
             held = read(at, min(step, size - at))
             at += len(held)
+            if not held:
+                raise ValueError("the file is shorter than its size")
         parts.append(packer.decompress(held))
         held = packer.unused_data
         if packer.eof:
-            yield b"".join(parts)
-            packer, parts = zlib.decompressobj(31), []
+            yield start, at - len(held) - start, b"".join(parts)
+            packer, parts, start = zlib.decompressobj(31), [], at - len(held)
+    if parts:
+        raise ValueError("the last gzip member is cut off")
 
 
-def http_block(page_id: int | None, payload: bytes) -> bytes:
-    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page_id is None else page_id}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+def http_block(payload: bytes) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
 
 
-def http_parts(block: bytes) -> tuple[int | None, bytes, bytes]:
-    """(page_id, head with its blank line, body)."""
-    end = block.index(b"\r\n\r\n") + 4
-    page_id = re.search(rb"X-Page-Id: (-?[0-9]*)", block[:end])[1]
-    return int(page_id) if page_id else None, block[:end], block[end:]
+def http_parts(block: bytes) -> tuple[bytes, bytes]:
+    """(head with its blank line, body) of an HTTP answer; anything else is all body."""
+    if not block.startswith(b"HTTP/"):
+        return b"", block
+    end = re.search(rb"\r?\n\r?\n", block)
+    return (block[: end.end()], block[end.end() :]) if end else (block, b"")
 
 
-def write_arc(pages: DataFrame, folder: str, version: int = 1, date: str = "20240101000000", file_bytes: int = 256_000_000) -> DataFrame:
-    """Pages as ARC files of one version; returns (and writes) the index. A null html is empty; repeated rows all count."""
+def write_arc(pages: DataFrame, folder: str, version: int | None = 1, date: str = "20240101000000", file_bytes: int = 256_000_000, packed: bool = True) -> DataFrame:
+    """Pages (page_id, url, html) as ARC files; returns (and writes) the index.
+
+    ``version`` None: tasks take turns with versions 1 and 2. A null html is an empty payload, a null url "about:blank", a
+    null page_id stays null; repeated rows are records of their own; an empty table makes no file. ``packed``: each record
+    a gzip member, else plain files. Other columns are not looked at.
+    """
+    pack = gzip_member if packed else bytes
 
     def write(batches):
         out = None
+        mine = version or 1 + TaskContext.get().partitionId() % 2
         try:
             for batch in batches:
                 rows = []
@@ -152,109 +185,228 @@ def write_arc(pages: DataFrame, folder: str, version: int = 1, date: str = "2024
                     if out is None or out.size > file_bytes:
                         if out is not None:
                             out.close()
-                        out = Appender(folder, ".arc.gz")
+                        out = Appender(folder, ".arc.gz" if packed else ".arc")
                         name = out.uri.rpartition("/")[2]
-                        out.add(gzip_member(arc_version_block(version, name, date)))
+                        out.add(pack(arc_version_block(mine, name, date)))
                     payload = (html.as_py() or "").encode()
-                    content = http_block(page_id.as_py(), payload)
-                    packed = gzip_member(arc_record(version, arc_url(url.as_py()), date, "text/html", content, name, out.size))
-                    rows.append((page_id.as_py(), out.uri, out.add(packed), len(packed), len(payload), hashlib.sha1(payload).digest()))
+                    record = arc_record(mine, arc_url(url.as_py()), date, "text/html", http_block(payload), name, out.size)
+                    data = pack(record)
+                    at = out.add(data)
+                    place = (out.uri, at, len(data), 0, len(record), packed, mine)
+                    rows.append((page_id.as_py(), *place, len(payload), hashlib.sha1(payload).digest()))
                 if rows:
-                    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds, strict=True)], ["page_id", "shard", "offset", "length", "payload_bytes", "digest"])
+                    yield _batch(rows, INDEX)
         finally:
             if out is not None:
                 out.close()
 
-    return materialise(pages.select("page_id", "url", "html").mapInArrow(write, INDEX), "arc-index")
+    return materialise(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(write, INDEX), "arc-index")
+
+
+def arc_places(read, size: int) -> Iterator[tuple[int, int, int, int, bool, int, dict[str, str], bytes]]:
+    """(offset, length, inner, size, packed, version, header values, content) of a file's records, in order.
+
+    Records follow each other by their declared lengths, with any number of line ends between them. A gzip file may hold a
+    record a member, or any number of records in one; a plain file is read record by record.
+    """
+
+    def records(data: bytes, fields: tuple[str, ...]) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+        at = 0
+        while at < len(data):
+            if data[at : at + 1] in (b"\n", b"\r"):
+                at += 1
+                continue
+            end = data.find(b"\n", at)
+            if end < 0:
+                raise ValueError("a header line without an end")
+            head = parse_header(fields, data[at:end])
+            stop = end + 1 + int(head["Archive-length"])
+            if stop > len(data):
+                raise ValueError("the declared length doesn't fit")
+            yield at, stop - at, head, data[end + 1 : stop]
+            at = stop
+
+    def version_of(data: bytes) -> tuple[int, tuple[str, ...], int]:
+        """Version, fields and end of the version block at the beginning of ``data``."""
+        version, fields = parse_version_block(data)
+        line = data[: data.index(b"\n")]
+        return version, fields, len(line) + 1 + int(line.split()[-1])
+
+    if read(0, 2) == b"\x1f\x8b":
+        version, fields = 0, ()
+        for offset, length, data in members(read, size):
+            skip = 0
+            if not version:
+                version, fields, skip = version_of(data)
+            for inner, n, head, content in records(data[skip:] if skip else data, fields):
+                yield offset, length, skip + inner, n, True, version, head, content
+        return
+    front = read(0, min(size, 65_536))
+    version, fields, at = version_of(front)
+    while at < size:
+        line = read(at, min(65_536, size - at))
+        blank = len(line) - len(line.lstrip(b"\r\n"))
+        if blank:
+            at += blank
+            continue
+        end = line.find(b"\n")
+        if end < 0:
+            raise ValueError("a header line without an end")
+        n = end + 1 + int(parse_header(fields, line[:end])["Archive-length"])
+        head, content = parse_arc_record(fields, read(at, n))
+        yield at, n, 0, n, False, version, head, content
+        at += n
+
+
+def scan_arc(paths: DataFrame) -> DataFrame:
+    """The index of ARC archives (path) of either version, plain or gzip; returns (and writes) it. page_id is null.
+
+    A file is read from front to end by one task; a damaged one fails with its name.
+    """
+
+    def scan(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, at = open_fs(path)
+                rows = []
+                try:
+                    with system.open_input_file(at) as f:
+                        for *place, head, content in arc_places(lambda o, n: f.read_at(n, o), f.size()):
+                            body = http_parts(content)[1]
+                            rows.append((None, path, *place, len(body), hashlib.sha1(body).digest()))
+                except (ValueError, zlib.error) as e:
+                    raise ValueError(f"{path}: {e}") from e
+                yield _batch(rows, INDEX)
+
+    return materialise(paths.select("path").repartition("path").mapInArrow(scan, INDEX), "arc-index")
 
 
 def mark_revisits(index: DataFrame, least: int = 1000) -> DataFrame:
-    """The index with first_shard and first_offset: of the record that an equal payload of ``least`` bytes or more repeats.
+    """The index with ``first``, the place of the record that an equal payload of ``least`` bytes or more repeats.
 
-    Of equal payloads the record with the largest page_id comes first (then the last place); it and small ones have nulls.
+    Of equal payloads the record with the largest page_id comes first (null is smallest, then the last place); it and small
+    ones have nulls.
     """
-    large = F.col("payload_bytes") >= least
-    first = index.where(large).groupBy("digest", "payload_bytes").agg(F.max(F.struct("page_id", "shard", "offset")).alias("first"))
+    place = ["shard", "offset", "inner"]
+    first = index.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max(F.struct("page_id", *place)).alias("first"))
     joined = index.join(first, ["digest", "payload_bytes"], "left")
-    own = (F.col("first.shard") == F.col("shard")) & (F.col("first.offset") == F.col("offset"))
+    own = (F.col("first.shard") == F.col("shard")) & (F.col("first.offset") == F.col("offset")) & (F.col("first.inner") == F.col("inner"))
     first = F.when(F.col("first").isNotNull() & ~own, F.col("first"))
-    return joined.select("page_id", "shard", "offset", "length", first["shard"].alias("first_shard"), first["offset"].alias("first_offset"))
+    kept = ["page_id", *(x.split()[0] for x in PLACE.split(", "))]
+    return joined.select(*kept, *(first[c].alias(f"first_{c}") for c in place))
+
+
+def _dealt(rows: DataFrame, file: str) -> DataFrame:
+    """``rows`` in order of file and offset, over as many tasks as the bytes that they stand for ask for.
+
+    The number is given, as index rows are small and adaptive execution would deal by their own size.
+    """
+    total = rows.agg(F.sum("length")).head()[0] or 0
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-total // TASK_BYTES), min(cores, -(-total // LEAST_BYTES)))
+    return rows.repartitionByRange(tasks, file, "offset").sortWithinPartitions(file, "offset", *(["inner"] if "inner" in rows.columns else []))
+
+
+def warc_of(head: dict[str, str], content: bytes, own: str, first: str | None) -> bytes:
+    """The WARC record that stands for an ARC record of identifier ``own``; with ``first``, a revisit of that one.
+
+    HTTP answers become responses; what else an ARC file holds (name look-ups, say) become resources of its own type.
+    """
+    http, payload = http_parts(content)
+    kind = "revisit" if first else "response" if http else "resource"
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    block = http if first else content
+    headers = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", iso_date(head["Archive-date"])), ("WARC-Target-URI", head["URL"]), ("WARC-IP-Address", head["IP-address"])]
+    headers += [("Content-Type", "application/http; msgtype=response" if http else head["Content-type"]), ("WARC-Payload-Digest", sha1(payload)), ("WARC-Block-Digest", sha1(block))]
+    if first:
+        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", first)]
+    return warc_record(headers, block)
 
 
-def convert(marked: DataFrame, folder: str) -> DataFrame:
-    """ARC records as WARC archives in ``folder``, in the order of the ARC files; returns (and writes) their paths."""
+def convert(marked: DataFrame, folder: str, file_bytes: int = 1_000_000_000) -> DataFrame:
+    """ARC records as WARC archives in ``folder``, in the order of the ARC files; returns (and writes) where each lies."""
 
     def write(batches):
-        ranges, fields, out = Ranges(), {}, None
+        ranges, out, at, data = Ranges(), None, None, b""
         try:
             for batch in batches:
-                for shard, offset, length, first_shard, first_offset in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
-                    if shard not in fields:
-                        fields = {shard: parse_version_block(next(members(lambda at, n, s=shard: ranges.read(s, at, n), 4096)))}
-                    version, names = fields[shard]
-                    head, content = parse_arc_record(names, gunzip(ranges.read(shard, offset, length)))
-                    _, http, payload = http_parts(content)
-                    date = iso_date(head["Archive-date"])
-                    if out is None:
+                rows = []
+                for page_id, shard, offset, length, inner, size, packed, version, *first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if at != (shard, offset):  # records of one gzip member come one after another
+                        at, data = (shard, offset), ranges.read(shard, offset, length)
+                        data = gunzip(data) if packed else data
+                    head, content = parse_arc_record(ARC_FIELDS[version], data[inner : inner + size])
+                    if out is None or out.size > file_bytes:
+                        if out is not None:
+                            out.close()
                         out = Appender(folder, ".warc.gz")
-                        about = f"software: lectern\r\nformat: WARC File Format 1.0\r\nsource: ARC version {version}\r\n".encode()
-                        out.add(gzip_member(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(out.uri, 0)), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], about)))
-                    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
-                    block = content if first_shard is None else http
-                    headers = [("WARC-Type", "response" if first_shard is None else "revisit"), ("WARC-Record-ID", record_id(shard, offset)), ("WARC-Date", date), ("WARC-Target-URI", head["URL"]), ("WARC-IP-Address", head["IP-address"])]
-                    headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", sha1(payload)), ("WARC-Block-Digest", sha1(block))]
-                    if first_shard is not None:
-                        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first_shard, first_offset))]
-                    out.add(gzip_member(warc_record(headers, block)))
-            if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([out.uri])], ["path"])
+                        about = b"software: lectern\r\nformat: WARC File Format 1.0\r\n"
+                        info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(out.uri, 0)), ("WARC-Date", iso_date(head["Archive-date"]))]
+                        out.add(gzip_member(warc_record([*info, ("Content-Type", "application/warc-fields")], about)))
+                    made = gzip_member(warc_of(head, content, record_id(shard, offset, inner), record_id(*first) if first[0] is not None else None))
+                    rows.append((page_id, out.uri, out.add(made), len(made)))
+                if rows:
+                    yield _batch(rows, WRITTEN)
         finally:
             ranges.close()
             if out is not None:
                 out.close()
 
-    ordered = marked.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-    return materialise(ordered.mapInArrow(write, "path string"), "warc-files")
+    return materialise(_dealt(marked, "shard").mapInArrow(write, WRITTEN), "warc-index")
 
 
-def read_warc(paths: DataFrame) -> DataFrame:
-    """Every response and revisit record of the archives, its payload digest computed anew where there is a payload.
+def _read_back(head: dict[str, str], block: bytes, page_id: int | None) -> tuple | None:
+    """A row of RECORDS; None for other types of record. A payload must have the digest that its record declares."""
+    kind = head["warc-type"]
+    if kind not in ("response", "resource", "revisit"):
+        return None
+    body = http_parts(block)[1]
+    declared = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
+    if kind != "revisit" and hashlib.sha1(body).hexdigest() != declared:
+        raise ValueError("the payload doesn't match its digest")
+    size = None if kind == "revisit" else len(body)
+    return page_id, head["warc-record-id"], kind, head["warc-target-uri"], head["warc-date"], size, declared, head.get("warc-refers-to")
+
+
+def read_records(written: DataFrame) -> DataFrame:
+    """Records by range reads of the archives, as ``convert`` placed them; payload digests are computed anew.
 
     ``payload_bytes`` is null for revisits; digests are bare lower-case hex.
     """
 
+    def read(batches):
+        ranges = Ranges()
+        try:
+            for batch in batches:
+                rows = []
+                for page_id, path, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    rows += [_read_back(head, block, page_id) for head, block in parse_warc(gunzip(ranges.read(path, offset, length)))]
+                yield _batch(rows, RECORDS)
+        finally:
+            ranges.close()
+
+    return _dealt(written, "path").select("page_id", "path", "offset", "length").mapInArrow(read, RECORDS)
+
+
+def read_warc(paths: DataFrame) -> DataFrame:
+    """As ``read_records``, of whole archives (path) read from front to end, one a task at a time; page_id is null."""
+
     def read(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 system, at = open_fs(path)
                 with system.open_input_file(at) as f:
                     rows = []
-                    for member in members(lambda o, n: f.read_at(n, o), f.size()):
-                        for head, block in parse_warc(member):
-                            if head["warc-type"] not in ("response", "revisit"):
-                                continue
-                            page_id, _, body = http_parts(block)
-                            declared = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
-                            full = head["warc-type"] == "response"
-                            if full and hashlib.sha1(body).hexdigest() != declared:
-                                raise ValueError("the payload doesn't match its digest")
-                            rows.append((page_id, head["warc-record-id"], head["warc-type"], head["warc-target-uri"], head["warc-date"], len(body) if full else None, declared, head.get("warc-refers-to")))
+                    for _, _, member in members(lambda o, n: f.read_at(n, o), f.size()):
+                        rows += filter(None, (_read_back(head, block, None) for head, block in parse_warc(member)))
                         if len(rows) >= 5000:
-                            yield _batch(rows)
+                            yield _batch(rows, RECORDS)
                             rows = []
-                    if rows:
-                        yield _batch(rows)
+                    yield _batch(rows, RECORDS)
 
     return paths.select("path").repartition("path").mapInArrow(read, RECORDS)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = [x.split()[0] for x in RECORDS.split(", ")]
-    kinds = [pa.int64() if x.split()[1] == "long" else pa.string() for x in RECORDS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds, strict=True)], names)
-
-
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): revisits take size and page of the response they name.
 
@@ -267,8 +419,20 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     return alone.unionByName(joined)
 
 
-def pages_to_warc(pages: DataFrame, version: int = 1, least: int = 1000) -> DataFrame:
-    """Pages through ARC into WARC archives in the shared folder, and the records read back (written once)."""
+def pages_to_warc(pages: DataFrame, version: int | None = 1, least: int = 1000) -> DataFrame:
+    """Pages through ARC into WARC archives in the shared folder, and the records read back (written once).
+
+    One record a row: a null html has an empty payload, a null url is "about:blank", a null page_id stays null, and rows
+    that repeat, or share a page_id, are records of their own. Of equal payloads of ``least`` bytes or more one is the
+    response: that of the largest page_id, and among equal page_ids the last place. Other columns are not looked at; an
+    empty table gives no records.
+    """
     spark = pages.sparkSession
     index = write_arc(pages, new_path(spark, "arc"), version)
-    return materialise(read_warc(convert(mark_revisits(index, least), new_path(spark, "warc"))), "warc-records")
+    return materialise(read_records(convert(mark_revisits(index, least), new_path(spark, "warc"))), "warc-records")
+
+
+def archives_to_warc(paths: DataFrame, least: int = 1000) -> DataFrame:
+    """The records of any ARC archives (path), converted to WARC in the shared folder and read back."""
+    spark = paths.sparkSession
+    return materialise(read_records(convert(mark_revisits(scan_arc(paths), least), new_path(spark, "warc"))), "warc-records")
