@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), a fresh local one, set for the session."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a fresh local one, but on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master.partition("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -30,6 +33,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Deletes the folders of tables that ``materialise`` made and that nothing reads any more."""
+    for df in frames:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

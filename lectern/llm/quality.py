@@ -61,7 +61,10 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Discriminant:
-    """Standardisation, and for each class mean, lower Cholesky factor of the covariance and log weight; then the curve."""
+    """Standardisation, and for each class mean, Cholesky factor of the covariance and log weight; then the curve.
+
+    ``factors`` holds the inverses of the lower Cholesky factors, found once in ``fit``: whitening a batch is one product.
+    """
 
     centre: np.ndarray
     scale: np.ndarray
@@ -76,8 +79,8 @@ class Discriminant:
         z = (x - self.centre) / self.scale
         logs = []
         for k in (0, 1):
-            y = np.linalg.solve(self.factors[k], (z - self.means[k]).T)
-            logs.append(self.offsets[k] - 0.5 * (y * y).sum(0))
+            y = (z - self.means[k]) @ self.factors[k].T
+            logs.append(self.offsets[k] - 0.5 * (y * y).sum(1))
         return (logs[1] - logs[0]) / np.sqrt(x.shape[1])
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -99,8 +102,9 @@ def fit(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrink: float, dia
     for k in (0, 1):
         weight = shrink + (1 - shrink) * d / (d + n[k])  # few rows shrink more
         cov = (1 - weight) * covs[k] + weight * target + 1e-3 * np.eye(d)
-        factors.append(np.linalg.cholesky((cov + cov.T) / 2))
-        offsets.append(np.log(n[k] / n.sum()) - np.log(np.diag(factors[-1])).sum())
+        lower = np.linalg.cholesky((cov + cov.T) / 2)
+        factors.append(np.linalg.inv(lower))
+        offsets.append(np.log(n[k] / n.sum()) - np.log(np.diag(lower)).sum())
     return Discriminant(centre, scale, (means - centre) / scale, np.array(factors), np.array(offsets))
 
 

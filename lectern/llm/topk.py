@@ -86,7 +86,7 @@ def top_k(table: DataFrame, every: int = 50, k: int = 5, bucket_rows: int = 4096
     vectors = vectors.withColumn("bin", F.floor(F.log2(F.col("norm") + 1) * 4).cast("int"))
     vectors = materialise(vectors, "vectors")
     bins = vectors.groupBy("width", "bin").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("parts"))
-    placed = vectors.join(bins, ["width", "bin"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+    placed = vectors.join(bins, ["width", "bin"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("parts")).cast("int")).drop("parts")
     placed = materialise(placed, "placed")
     buckets = placed.groupBy("width", "bin", "part").agg(F.max("norm").alias("longest"), F.count("*").alias("n"))
     queries = placed.where(F.col("vec_id") % every == 0).select("width", "vec_id", "v", "norm").dropDuplicates(["vec_id", "v"])
