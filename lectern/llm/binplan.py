@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 Plan = list[tuple[tuple[int, ...], int]]
 SMALL = 6  # items in fillings that are tested for dominance
@@ -124,33 +125,56 @@ def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000, steps:
     bound = max(-(-total // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
     best, own = best_fit(counts, capacity), False
     size = sum(n for _, n in best)
+    left, lengths = dict(counts), sorted(counts)
     plan: Plan = []
-    stack: list[tuple] = [(counts, sorted(counts), 0, 0, 0, ())]
-    while stack and nodes and (size > bound or not own):
-        left, lengths, bins, waste, depth, pattern = stack.pop()
-        del plan[depth:]
+    bins = waste = 0
+
+    def put(pattern: tuple[int, ...], times: int) -> None:
+        """Packs so many bins (or, below 0, takes them out again)."""
+        nonlocal bins, waste
+        for x, n in Counter(pattern).items():
+            had = left[x]
+            left[x] = had - n * times
+            if had and not left[x]:
+                del lengths[bisect_left(lengths, x)]
+            elif left[x] and not had:
+                lengths.insert(bisect_left(lengths, x), x)
+        bins, waste = bins + times, waste + (capacity - sum(pattern)) * times
+
+    def choices() -> Iterator[tuple[int, ...]]:
+        """The patterns of the next bin: the largest item left, and an undominated filling beside it."""
+        large = lengths[-1]
+        left[large] -= 1
+        allowed = (size - own) * capacity - total - waste
+        found = fillings(lengths, left, capacity - large, large, steps, width, allowed)
+        left[large] += 1
+        return iter([(large, *f) for f in found])
+
+    frames = [choices()] if lengths else []
+    while frames and (size > bound or not own):
+        pattern = next(frames[-1], None)
+        if pattern is None:
+            frames.pop()
+            if plan:
+                done, times = plan.pop()
+                put(done, -times)
+            continue
+        free = capacity - sum(pattern)
         allowed = (size - own) * capacity - total - waste  # what may still be left free, if this is to be kept
-        if pattern:
-            need, free = Counter(pattern), capacity - sum(pattern)
-            times = min(left[x] // n for x, n in need.items())
-            if free * times > allowed:
-                times = max(1, allowed // free)
-            if free * times > allowed:
-                continue
-            left = dict(left)
-            for x, n in need.items():
-                left[x] -= n * times
-            plan.append((pattern, times))
-            lengths = [x for x in lengths if left[x]]
-            bins, waste, depth, allowed = bins + times, waste + free * times, depth + 1, allowed - free * times
-        if not lengths:
-            if bins < size or not own and bins == size:
-                best, size, own = plan.copy(), bins, True
+        times = min(left[x] // n for x, n in Counter(pattern).items())
+        if free * times > allowed:
+            times = max(1, allowed // free)
+        if free * times > allowed:
             continue
-        nodes -= 1
-        large = lengths[-1]
-        rest = dict(left)
-        rest[large] -= 1
-        for f in reversed(fillings(lengths, rest, capacity - large, large, steps, width, allowed)):
-            stack.append((left, lengths, bins, waste, depth, (large, *f)))
+        put(pattern, times)
+        plan.append((pattern, times))
+        if lengths and nodes:
+            nodes -= 1
+            frames.append(choices())
+            continue
+        if not lengths and (bins < size or not own and bins == size):
+            best, size, own = plan.copy(), bins, True
+        put(*plan.pop()[:1], -times)
+        if not nodes:
+            break
     return best
