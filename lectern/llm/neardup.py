@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -235,10 +235,10 @@ def _asks(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in ASKS.split(", ")])
 
 
-def _led(pairs: DataFrame, percent: int) -> DataFrame:
-    """ASKS of pairs (a, leader b) that sizes and sketches don't rule out, at most about FAMILY in a group.
+def _led(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """ASKS of pairs (a, leader b, root_a, root_b) that sizes and sketches don't rule out, at most about FAMILY in a group.
 
-    pairs: a, b, root_a, root_b and, of both, n, samples (m) and sketch (s).
+    The joins are between written tables, so that Spark can split a leader that a large share of the pairs name.
     """
     columns = ("a", "b", "root_a", "root_b", "n_a", "n_b", "m_a", "m_b", "salt")
 
@@ -252,8 +252,13 @@ def _led(pairs: DataFrame, percent: int) -> DataFrame:
             made = [(int(g[i]), 1, int(a[i]), int(root_a[i]), [int(b[i])], [int(root_b[i])]) for i in near]
             yield _asks(made + [(int(g[i]), 0, int(x), None, None, None) for i in near for x in (a[i], b[i])])
 
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("salts"))
-    salted = pairs.hint("merge").join(sizes, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
+    pairs = materialise(pairs.distinct(), "pairs")
+    many = materialise(pairs.groupBy("b").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("salts")).where("salts > 1"), "families")
+    salt = F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int")
+    salted = materialise(pairs.hint("merge").join(many, "b", "left").select("a", "b", "root_a", "root_b", salt.alias("salt")), "pairs")
+    for c in "ab":
+        side = held.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("samples").alias(f"m_{c}"), F.col("sketch").alias(f"s_{c}"))
+        salted = salted.hint("merge").join(side, c)
     return salted.select(*columns, "s_a", "s_b").mapInArrow(look, ASKS)
 
 
@@ -430,31 +435,33 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     nodes = buckets.select("node").distinct()
     held = materialise(classes.drop("key").hint("merge").join(nodes, "node"), "held")
     sets = materialise(shingle_sets(texts.hint("merge").join(nodes, texts.doc_id == nodes.node), size), "sets")
-    a_side, b_side = (held.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("samples").alias(f"m_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
-    sides = lambda pairs: pairs.hint("merge").join(a_side, "a").hint("merge").join(b_side, "b")
 
     def verify(asks: DataFrame) -> DataFrame:
-        return materialise(_confirm(materialise(asks, "asks"), sets, percent), "links")
+        asks = materialise(asks, "asks")
+        links = materialise(_confirm(asks, sets, percent), "links")
+        forget(asks)
+        return links
 
     def still_split(before: DataFrame, roots: DataFrame) -> DataFrame:
-        """(band, node, root) of the buckets that still hold several components."""
+        """(band, node, root) of the buckets that still hold several components; a written list of them lets Spark split a hot one."""
         seen = before.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
         split = seen.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        return materialise(seen.join(split.select("band"), "band"), "split")
+        return materialise(seen.hint("merge").join(materialise(split.select("band"), "bands"), "band"), "split")
 
-    led = buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("node").alias("root_a"), F.col("leader").alias("root_b")).distinct()
-    roots = grown(None, verify(_led(sides(led), percent)))
+    led = buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("node").alias("root_a"), F.col("leader").alias("root_b"))
+    roots = grown(None, verify(_led(led, held, percent)))
     split = still_split(buckets, roots)
     if split.head(1):
-        last = split.groupBy("band").agg(F.max(F.struct("node", "root")).alias("l"))
-        pairs = split.join(last, "band").where("root <> l.root").select(F.col("node").alias("a"), F.col("l.node").alias("b"), F.col("root").alias("root_a"), F.col("l.root").alias("root_b"))
-        roots = grown(roots, verify(_led(sides(pairs.distinct()), percent)))
+        last = materialise(split.groupBy("band").agg(F.max(F.struct("node", "root")).alias("l")), "last")
+        pairs = split.hint("merge").join(last, "band").where("root <> l.root").select(F.col("node").alias("a"), F.col("l.node").alias("b"), F.col("root").alias("root_a"), F.col("l.root").alias("root_b"))
+        roots = grown(roots, verify(_led(pairs, held, percent)))
         split = still_split(split, roots)
         # fixed for both rounds: a bucket keeps its classes while it is split, and of each pair of different roots one class asks
         sizes = split.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         largest = split.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m")).select("band", F.col("m.root").alias("main"))
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-        placed = split.join(sizes, "band").join(largest, "band").select("band", "node", "blocks", block, (F.col("root") != F.col("main")).alias("asks"))
+        about = materialise(sizes.join(largest, "band"), "about")
+        placed = split.hint("merge").join(about, "band").select("band", "node", "blocks", block, (F.col("root") != F.col("main")).alias("asks"))
         placed = materialise(placed.hint("merge").join(held, "node"), "placed")
         meeting = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         for low, high in ((0, FIRST), (FIRST, None)):
@@ -463,6 +470,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
             roots = grown(roots, verify(_meet(dealt, low, high, percent)))
             if high is not None:
                 split = still_split(split, roots)
+        forget(placed, about, last)
+    forget(buckets, held, sets)
     named = classes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
     # a root is the smallest of its nodes, and a node the smallest doc_id of its class
     out = signed.select("doc_id", "n", "key").join(named, "key", "left")
