@@ -7,10 +7,12 @@ one text, in Arrow batches; all else is DataFrame code.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -75,19 +77,23 @@ def assemble(parts: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("doc_id").orderBy("part_no")
     cleaned = js_trim(strip_orphan_page_numbers(normalize_text(F.col("text"))))
-    kept = parts.select("doc_id", "part_no", "title", cleaned.alias("clean")).where("clean <> ''")
-    before = F.lag("clean").over(w)
-    tail, head = F.right(before, F.lit(1)), F.left("clean", F.lit(1))
-    flows = ~tail.rlike(r"""[.!?:;"')\]]""") & head.rlike("[a-z(]")
-    fused = flows & before.rlike(r"[a-z]-\z")
-    joiner = F.when(before.isNull() | fused, "").when(flows, " ").otherwise("\n\n")
-    rows = kept.withColumns({"joiner": joiner, "fused": F.coalesce(fused, F.lit(False))})
-    rows = rows.withColumn("cut", F.coalesce(F.lead("fused").over(w), F.lit(False)))
-    grown = F.length("joiner") + F.length("clean") - F.col("fused").cast("int")
-    rows = rows.withColumn("end", F.sum(grown).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"))
+    # Parts without text are passed over by the windows and dropped behind them: a filter before them would be pushed to the
+    # scan and clean every text twice. What windows carry of a text is its last two characters and its first.
+    rows = parts.select("doc_id", "part_no", "title", cleaned.alias("clean")).withColumn("inked", F.col("clean") != "")
+    rows = rows.withColumns({"tail": F.when(F.col("inked"), F.right("clean", F.lit(2))), "head": F.left("clean", F.lit(1))})
+    rows = rows.withColumn("before", F.last("tail", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    flows = ~F.right("before", F.lit(1)).rlike(r"""[.!?:;"')\]]""") & F.col("head").rlike("[a-z(]")
+    fused = flows & F.col("before").rlike(r"[a-z]-\z")
+    joiner = F.when(F.col("before").isNull() | fused, "").when(flows, " ").otherwise("\n\n")
+    rows = rows.withColumns({"joiner": joiner, "fused": F.when(F.col("inked"), F.coalesce(fused, F.lit(False)))})
+    back = Window.partitionBy("doc_id").orderBy(F.desc("part_no")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("cut", F.coalesce(F.last("fused", ignorenulls=True).over(back), F.lit(False)))
+    grown = F.when(F.col("inked"), F.length("joiner") + F.length("clean") - F.col("fused").cast("int")).otherwise(0)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"end": F.sum(grown).over(so_far).cast("int"), "section_index": F.sum(F.col("inked").cast("int")).over(so_far).cast("int")})
     body = F.when(F.col("cut"), F.expr("left(clean, length(clean) - 1)")).otherwise(F.col("clean"))
-    return rows.select(
-        "doc_id", F.concat(F.lit("sec-"), F.col("part_no").cast("string")).alias("section_id"), F.row_number().over(w).alias("section_index"), "title",
+    return rows.where("inked").select(
+        "doc_id", F.concat(F.lit("sec-"), F.col("part_no").cast("string")).alias("section_id"), "section_index", "title",
         (F.col("end") - F.length("clean")).cast("int").alias("start"), "end", F.concat("joiner", body).alias("piece"),
     )
 
@@ -126,50 +132,47 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
 
 
 def split_span(text: str, start: int, end: int, most: int) -> list[tuple[int, int]]:
-    """A span in pieces of at most ``most`` characters: after the last of ``;:,)-`` in the back half, else at a blank."""
-    out = []
-    while end - start > most:
-        window = text[start : start + most]
-        clause = max(window.rfind(c) for c in ";:,)-")
-        cut = start + (clause + 1 if clause >= most // 2 else max(window.rfind(" "), most // 2))
-        out.append((start, cut))
-        start = cut
-    return [*out, (start, end)] if start < end else out
+    """A span in pieces of at most ``most`` characters: after the last of ``;:,)-`` in the back half, else at a blank there."""
+    cuts = [start]
+    while end - cuts[-1] > most:
+        half, full = cuts[-1] + most // 2, cuts[-1] + most
+        clause = max(text.rfind(c, half, full) for c in ";:,)-")
+        cuts.append(clause + 1 if clause >= 0 else max(text.rfind(" ", half, full), half))
+    return [(a, b) for a, b in zip(cuts, [*cuts[1:], end], strict=True) if a < b]
 
 
-def pack_passages(text: str, preset: PassagePreset, intent: bool = False) -> list[dict]:
-    """Passages of one text: whole sentences up to ``max_chars``; offsets are those of the trimmed text.
+SEAM = re.compile(rf"\n[{PY_WS}]*\n[{PY_WS}]*\Z")
+
+
+def pack_passages(text: str, preset: PassagePreset, intent: bool = False) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """Passages (start, end, sentences) of one text: whole sentences up to ``max_chars``; offsets are those of the trimmed text,
+    and sentences count from there.
 
     A paragraph ends a passage of ``min_chars`` or more only when the next sentence itself begins with two blanks or line ends,
     as the literal rule has it; with ``intent`` the gap between the sentences decides.
     """
     units = [u for s in sentence_spans(text) for u in split_span(text, *s, preset.max_chars)]
-    out: list[dict] = []
-    held: list[tuple[int, int]] = []
-
-    def flush() -> None:
-        if held:
-            start, end = held[0][0], held[-1][1]
-            body = text[start:end]
-            lead = len(body) - len(body.lstrip(BLANKS))
-            body = body.strip(BLANKS)
-            if body:
-                at = start + lead
-                spans = [(max(0, a - at), min(len(body), b - at)) for a, b in held]
-                out.append({"start": at, "end": at + len(body), "sentences": [{"start": a, "end": b} for a, b in spans if b > a]})
-            held.clear()
-
-    for a, b in units:
-        size = held[-1][1] - held[0][0] if held else 0
-        if size and size + b - a > preset.max_chars:
-            flush()
-            size = size if held else 0
-        if preset.respect_paragraphs and held and size >= preset.min_chars:
-            seam = text[max(0, held[-1][1] - 4) : a + (0 if intent else 2)]
-            if re.search(rf"\n[{PY_WS}]*\n[{PY_WS}]*\Z", seam):
-                flush()
-        held.append((a, b))
-    flush()
+    starts, ends = [a for a, _ in units], [b for _, b in units]
+    # With unit k, a passage holds what it held up to unit k - 1, and unit k: it fits while that is at most reach[k].
+    reach = [(ends[k - 1] if k else a) + b - a for k, (a, b) in enumerate(units)]
+    seams = []
+    if preset.respect_paragraphs:
+        gaps = (text[max(0, ends[k - 1] - 4) : starts[k] + (0 if intent else 2)] for k in range(1, len(units)))
+        seams = [k for k, gap in enumerate(gaps, 1) if "\n" in gap and SEAM.search(gap)]
+    out, i = [], 0
+    while i < len(units):
+        after = bisect_right(reach, starts[i] + preset.max_chars, i + 1)
+        for k in seams[bisect_right(seams, i) : bisect_left(seams, after)]:
+            if ends[k - 1] - starts[i] >= preset.min_chars:
+                after = k
+                break
+        whole = text[starts[i] : ends[after - 1]]
+        body = whole.strip(BLANKS)
+        if body:
+            at = starts[i] + len(whole) - len(whole.lstrip(BLANKS))
+            spans = [(max(0, a - at), min(len(body), b - at)) for a, b in units[i:after]]
+            out.append((at, at + len(body), [(a, b) for a, b in spans if a < b]))
+        i = after
     return out
 
 
@@ -198,20 +201,66 @@ def split_oversized(docs: DataFrame, sentences: DataFrame, most: int) -> DataFra
     return cut.select("doc_id", "sentence_no", F.posexplode("p").alias("piece_no", "p")).select("doc_id", "sentence_no", "piece_no", "p.start", "p.end")
 
 
-def build_passages(docs: DataFrame, preset: str | PassagePreset = "balanced", intent: bool = False) -> DataFrame:
-    """(doc_id, passage_index, text, start, end, sentences, words, est_seconds) of documents."""
+def packed_passages(docs: DataFrame, preset: str | PassagePreset, intent: bool, carried: list[str], outer: bool = False) -> DataFrame:
+    """(carried..., passage_index, text, start, end, sentences) of documents (text, carried...), as flat columns.
+
+    With ``outer``, a document without passages has one row, of which all else is null.
+    """
     chosen = PRESETS[preset] if isinstance(preset, str) else preset
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    names = ["passage_index", "text", "start", "end", "sentences"]
+
+    def pack(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 200):
+                part = batch.slice(first, 200)
+                of, index, body, start, end, sizes, spans = [], [], [], [], [], [], []
+                for row, text in enumerate(part.column(0)):
+                    text = text.as_py()
+                    made = pack_passages(text, chosen, intent) if text else []
+                    of += [row] * (len(made) or outer)
+                    index += range(len(made))
+                    for a, b, sentences in made:
+                        body.append(text[a:b])
+                        start.append(a)
+                        end.append(b)
+                        sizes.append(len(sentences))
+                        spans += sentences
+                    if outer and not made:
+                        for column in (index, body, start, end, sizes):
+                            column.append(None)
+                flat = [pa.array([s[k] for s in spans], pa.int32()) for k in (0, 1)]
+                offsets = np.concatenate([[0], np.cumsum([n or 0 for n in sizes])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(flat, fields=list(span)))
+                made = [pa.array(index, pa.int32()), pa.array(body, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of, pa.int64())) for c in part.columns[1:]), *made], [*carried, *names])
+
+    given = docs.select("text", *carried)
+    fields = "".join(f"`{c}` {given.schema[c].dataType.simpleString()}, " for c in carried)
+    return given.mapInArrow(pack, f"{fields}passage_index int, text string, start int, end int, sentences {SPANS}")
+
+
+def with_estimates(passages: DataFrame) -> DataFrame:
+    words = count_words(F.col("text"))
+    return passages.withColumns({"words": words, "est_seconds": estimate_seconds(words) + pause_after(F.col("text"))})
 
-    @pandas_udf(f"array<struct<start:int,end:int,sentences:{SPANS}>>")
-    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: pack_passages(t, chosen, intent) if t else [])
 
-    made = docs.select("doc_id", "text", F.posexplode(pack("text")).alias("passage_index", "p"))
-    body = F.expr("substring(text, p.start + 1, p.end - p.start)")
-    made = made.select("doc_id", "passage_index", body.alias("text"), "p.start", "p.end", "p.sentences")
-    words = count_words(F.col("text"))
-    return made.withColumns({"words": words, "est_seconds": estimate_seconds(words) + pause_after(F.col("text"))})
+def build_passages(docs: DataFrame, preset: str | PassagePreset = "balanced", intent: bool = False) -> DataFrame:
+    """(doc_id, passage_index, text, start, end, sentences, words, est_seconds) of documents; null and blank texts have none."""
+    return with_estimates(packed_passages(docs, preset, intent, ["doc_id"]))
+
+
+def narration_time(docs: DataFrame, preset: str | PassagePreset = "balanced") -> DataFrame:
+    """(doc_id, words, characters, passages, est_seconds, timeline_end) of documents (doc_id, text) as they are read.
+
+    One pass over the texts and one aggregate by document. Without passages the seconds follow from the words.
+    """
+    clean = docs.select("doc_id", normalize_text(F.col("text")).alias("text"))
+    counted = clean.withColumns({"_words": count_words(F.col("text")), "_characters": F.length("text")})
+    made = with_estimates(packed_passages(counted, preset, False, ["doc_id", "_words", "_characters"], outer=True))
+    sums = made.groupBy("doc_id", "_words", "_characters").agg(F.count("passage_index").alias("passages"), F.sum("est_seconds").alias("timeline_end"))
+    seconds = F.coalesce(F.nullif("timeline_end", F.lit(0.0)), estimate_seconds(F.col("_words")))
+    return sums.select("doc_id", F.col("_words").alias("words"), F.col("_characters").alias("characters"), "passages", seconds.alias("est_seconds"), "timeline_end")
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, start: str, values: list[str]) -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import WS, pivot_for
 from .documents import BLANKS, PY_WS, ends_with_abbreviation
@@ -17,38 +16,41 @@ WIDTH, SLACK = 13, 3
 RAMP_WORDS, RAMP_FROM = 12, 0.7
 STALL_MS, FRAME_MS = 250, 16
 REPLAY_WORDS = 10
-TOKEN = "start int, end int, last boolean, ends_sentence boolean, ends_clause boolean, ends_paragraph boolean, numeric boolean"
+WORD, DIGIT, THREE_LETTERS = re.compile(rf"[^{PY_WS}]+"), re.compile("[0-9]"), re.compile(r"[^\W\d_]{3,}")
+PARAGRAPH = re.compile(rf"[{PY_WS}]*\n[{PY_WS}]*\n")
+CLOSERS = "\"')]"
+FLAGS = ("last", "ends_sentence", "ends_clause", "ends_paragraph", "numeric")
 
 
 def balanced_pieces(word: str, width: int = WIDTH) -> list[tuple[int, int]]:
     """A word wider than ``width`` and some slack in about equal pieces, cut after a hyphen of its own where it has one."""
-    n = len(word)
-    if n <= width + SLACK:
-        return [(0, n)]
-    count = -(-n // (width - 1))
-    target = -(-n // count)
-    out, at = [], 0
-    while n - at > target:
-        hyphen = word.rfind("-", at, at + target + 1) - at
-        cut = at + (hyphen + 1 if hyphen >= max(2, target // 2) else target)
-        out.append((at, cut))
-        at = cut
-    return [*out, (at, n)]
-
-
-def word_tokens(text: str, width: int = WIDTH) -> list[dict]:
-    """Tokens of one passage; flags are those of the word, and only its last piece ends anything."""
+    if len(word) <= width + SLACK:
+        return [(0, len(word))]
+    even = -(-len(word) // -(-len(word) // (width - 1)))
+    cuts = [0]
+    while len(word) - cuts[-1] > even:
+        hyphen = word.rfind("-", cuts[-1] + max(2, even // 2), cuts[-1] + even + 1)
+        cuts.append(hyphen + 1 if hyphen >= 0 else cuts[-1] + even)
+    return list(zip(cuts, [*cuts[1:], len(word)], strict=True))
+
+
+def word_tokens(text: str, width: int = WIDTH) -> list[tuple]:
+    """(start, end, FLAGS...) of one passage's tokens; flags are those of the word, and only its last piece ends anything."""
     body_end = len(text.rstrip(BLANKS))
     out = []
-    for m in re.finditer(rf"[^{PY_WS}]+", text):
+    for m in WORD.finditer(text):
         word, start, end = m[0], m.start(), m.end()
-        numeric = bool(re.search("[0-9]", word)) and not re.search(r"[^\W\d_]{3,}", word)
-        sentence = bool(re.search(r"""[.!?]+["')\]]*\Z""", word)) and not ends_with_abbreviation(word) and not numeric
-        clause = bool(re.search(r"""[,;:]["')\]]*\Z""", word))
-        paragraph = end >= body_end or bool(re.match(rf"[{PY_WS}]*\n[{PY_WS}]*\n", text[end : end + 8]))
+        numeric = DIGIT.search(word) is not None and THREE_LETTERS.search(word) is None
+        sign = word.rstrip(CLOSERS)[-1:]
+        sentence = sign in (".", "!", "?") and not numeric and not ends_with_abbreviation(word)
+        clause = sign in (",", ";", ":")
+        paragraph = end >= body_end or PARAGRAPH.match(text[end : end + 8]) is not None
+        if len(word) <= width:
+            out.append((start, end, True, sentence, clause, paragraph, numeric))
+            continue
         for a, b in balanced_pieces(word, width):
             last = b == len(word)
-            out.append({"start": start + a, "end": start + b, "last": last, "ends_sentence": last and sentence, "ends_clause": last and clause, "ends_paragraph": last and paragraph, "numeric": numeric})
+            out.append((start + a, start + b, last, last and sentence, last and clause, last and paragraph, numeric))
     return out
 
 
@@ -56,18 +58,35 @@ def tokenize_words(passages: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, passage_index, token_no, text, display, start, end, pivot, flags...) of passages; start and end are the document's.
 
     ``token_no`` counts within the passage. What is shown of a cut word ends in a hyphen; ``text`` stays the exact slice.
+    A null text has no tokens.
     """
-
-    @pandas_udf(f"array<struct<{TOKEN.replace(' ', ':').replace(',:', ',')}>>")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: word_tokens(t, width) if t else [])
-
-    rows = passages.select("doc_id", "passage_index", F.col("start").alias("base"), "text", F.posexplode(cut("text")).alias("token_no", "t"))
-    text = F.expr("substring(text, t.start + 1, t.end - t.start)")
-    rows = rows.withColumn("text", text).withColumn("display", F.when(F.col("t.last"), F.col("text")).otherwise(F.concat("text", F.lit("-"))))
+    made = ("token_no", "text", "start", "end", *FLAGS)
+
+    def cut(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                of, no, words, tokens = [], [], [], []
+                for row, (text, base) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                    found = word_tokens(text, width) if text else []
+                    of += [row] * len(found)
+                    no += range(len(found))
+                    words += [text[t[0] : t[1]] for t in found]
+                    tokens += [(base + t[0], base + t[1], *t[2:]) for t in found]
+                columns = list(zip(*tokens, strict=True)) if tokens else [()] * (2 + len(FLAGS))
+                kinds = [pa.int32(), pa.int32(), *[pa.bool_()] * len(FLAGS)]
+                flat = [pa.array(no, pa.int32()), pa.array(words, pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of, pa.int64())) for c in part.columns[2:]), *flat], ["doc_id", "passage_index", *made])
+
+    given = passages.select("text", F.col("start").cast("int").alias("start"), "doc_id", "passage_index")
+    kinds = [f"`{c}` {given.schema[c].dataType.simpleString()}" for c in ("doc_id", "passage_index")]
+    flags = ", ".join(f"{c} boolean" for c in FLAGS)
+    rows = given.mapInArrow(cut, f"{', '.join(kinds)}, token_no int, text string, start int, end int, {flags}")
+    display = F.when(F.col("last"), F.col("text")).otherwise(F.concat("text", F.lit("-")))
+    rows = rows.withColumn("display", display)
     return rows.select(
-        "doc_id", "passage_index", "token_no", "text", "display", (F.col("base") + F.col("t.start")).alias("start"), (F.col("base") + F.col("t.end")).alias("end"),
-        pivot_for(F.col("display")).alias("pivot"), "t.ends_sentence", "t.ends_clause", "t.ends_paragraph", "t.numeric", (~F.col("t.last")).alias("continued"),
+        "doc_id", "passage_index", "token_no", "text", "display", "start", "end", pivot_for(F.col("display")).alias("pivot"),
+        "ends_sentence", "ends_clause", "ends_paragraph", "numeric", (~F.col("last")).alias("continued"),
     )
 
 
@@ -82,13 +101,14 @@ def dwell_weight(display: Column, paragraph: Column, sentence: Column, clause: C
     return reduce(lambda a, b: a * b, factors, w)
 
 
-def token_weight() -> Column:
-    return dwell_weight(*(F.col(c) for c in ("display", "ends_paragraph", "ends_sentence", "ends_clause", "numeric", "continued")))
+def token_weight(first: Column | None = None) -> Column:
+    """The weight of a token row; ``first``: whether it opens a section, which then counts."""
+    return dwell_weight(*(F.col(c) for c in ("display", "ends_paragraph", "ends_sentence", "ends_clause", "numeric", "continued")), first)
 
 
-def dwell_schedule(tokens: DataFrame, wpm: float) -> DataFrame:
+def dwell_schedule(tokens: DataFrame, wpm: float, first: Column | None = None) -> DataFrame:
     """Tokens with ``weight`` and ``dwell_ms``, whose mean in each passage is that of the asked pace."""
-    weighted = tokens if "weight" in tokens.columns else tokens.withColumn("weight", token_weight())
+    weighted = tokens if "weight" in tokens.columns else tokens.withColumn("weight", token_weight(first))
     mean = F.avg("weight").over(Window.partitionBy("doc_id", "passage_index"))
     pace = 60000.0 / max(1.0, wpm)
     return weighted.withColumn("dwell_ms", F.col("weight") * F.when(mean > 0, F.lit(pace) / mean).otherwise(pace))

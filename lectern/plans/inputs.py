@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +15,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores where it comes in fewer partitions than there are: small files would keep one core busy.
+
+    At scale a table has more partitions than the cluster has cores, and nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(2 * cores, key)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder that nothing has used yet, where driver and executors share it: below ``spark.checkpoint.dir``.
+
+    Where that is unset, on a local master, a fresh local folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def streamed(df: DataFrame, name: str, halves: str, run, sink=None) -> DataFrame | None:
+    """What the live job ``run`` makes of ``df`` as a stream that arrives in two halves, those rows first that ``halves`` names.
+
+    Each half is a run to the end of what is there, with one checkpoint, so state and progress carry over. Results go to a
+    folder and are read back, or to ``sink`` (a function for ``foreachBatch``), and then None is returned. Batches without
+    data are off meanwhile: jobs with timeouts by the clock would go on with them for ever.
+    """
+    spark = df.sparkSession
+    at, idle = scratch(spark, name), "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(idle)
+    spark.conf.set(idle, "false")
+    try:
+        for half in (halves, f"NOT ({halves})"):
+            df.where(half).write.mode("append").parquet(f"{at}/in")
+            out = run(spark.readStream.schema(df.schema).parquet(f"{at}/in"))
+            writer = out.writeStream.option("checkpointLocation", f"{at}/progress").trigger(availableNow=True)
+            started = writer.foreachBatch(sink).start() if sink else writer.format("parquet").outputMode("append").start(f"{at}/out")
+            started.awaitTermination()
+    finally:
+        spark.conf.set(idle, before)
+    return None if sink else spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
 def lines(docs: DataFrame) -> DataFrame:

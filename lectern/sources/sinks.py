@@ -13,27 +13,33 @@ from ..functions.text import format_clock, timecode, wrap_for_subtitle
 from ..operators.documents import BLANKS, PY_WS
 
 
+SENTENCE = re.compile(r"[^.!?]+[.!?]*\s*")
+
+
+def folded(line: str, most: int) -> list[str]:
+    """A line in lines of at most ``most`` characters, cut at the last blank that fits, or else at full length."""
+    lines = [line.strip(BLANKS)]
+    while len(lines[-1]) > most:
+        rest = lines.pop()
+        cut = rest.rfind(" ", 1, most + 1)
+        cut = most if cut < 0 else cut
+        lines += [rest[:cut].strip(BLANKS), rest[cut:].strip(BLANKS)]
+    return lines
+
+
 def subtitle_pieces(text: str, most: int = 84) -> list[str]:
     """A cue's text in pieces of at most ``most`` characters, by sentence, then by word."""
     flat = re.sub(rf"[{PY_WS}]+", " ", text).strip(" ")
     if len(flat) <= most:
         return [flat]
-    out, held = [], ""
-    for s in re.findall(r"[^.!?]+[.!?]*\s*", flat) or [flat]:
-        if held and len(held + s) > most:
-            out.append(held.strip(BLANKS))
-            held = ""
-        if len(s) <= most:
-            held += s
-            continue
-        rest, held = (held + s).strip(BLANKS), ""
-        while len(rest) > most:
-            cut = rest.rfind(" ", 0, most + 1)
-            cut = cut if cut > 0 else most
-            out.append(rest[:cut].strip(BLANKS))
-            rest = rest[cut:].strip(BLANKS)
-        held = rest
-    return [x for x in [*out, held.strip(BLANKS)] if x]
+    pieces = [""]
+    for sentence in SENTENCE.findall(flat) or [flat]:
+        if pieces[-1] and len(pieces[-1]) + len(sentence) > most:
+            pieces.append("")
+        pieces[-1] += sentence
+        if len(sentence) > most:
+            pieces[-1:] = folded(pieces[-1], most)  # what follows joins its last line
+    return [p for p in (p.strip(BLANKS) for p in pieces) if p]
 
 
 def split_for_subtitles(cues: DataFrame, most: int = 84) -> DataFrame:
@@ -43,7 +49,7 @@ def split_for_subtitles(cues: DataFrame, most: int = 84) -> DataFrame:
     def cut(s: pd.Series) -> pd.Series:
         return s.map(lambda t: p if len(p := subtitle_pieces(t, most)) > 1 else [t])
 
-    rows = cues.withColumn("pieces", cut("text"))
+    rows = cues.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("pieces", cut("text"))
     total = F.aggregate("pieces", F.lit(0), lambda a, p: a + F.length(p))
     rows = rows.withColumn("span", F.greatest(F.lit(0.001), F.col("end") - F.col("start"))).withColumn("total", F.greatest(F.lit(1), total))
     rows = rows.select("doc_id", "cue_index", "start", "end", "span", "total", F.size("pieces").alias("n"), F.posexplode("pieces").alias("piece_no", "piece"))
@@ -73,42 +79,74 @@ def _grouped_number(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
-def transcript_documents(docs: DataFrame, passages: DataFrame, fmt: str, sections: bool = True, timestamps: bool = True, estimated: bool = True, generated: str = "") -> DataFrame:
+def _or_empty(made: Column) -> Column:
+    """A piece of text that is left out where a value in it is null."""
+    return F.coalesce(made, F.lit(""))
+
+
+def transcript_documents(
+    docs: DataFrame, passages: DataFrame, fmt: str, sections: bool | DataFrame = True, timestamps: bool = True, estimated: bool = True, generated: str = "", totals: DataFrame | None = None
+) -> DataFrame:
     """(doc_id, content) of docs (doc_id, title, author, words) and passages with cue_start, cue_end and section_title.
 
-    ``fmt`` is txt, md or json. A section's title stands before its first passage. ``generated`` says when, if it is to be said.
+    ``fmt`` is txt, md or json. A section's title stands before its first passage. ``docs`` may have name, kind, pages and
+    characters, which Markdown (name) and JSON tell; JSON lists ``sections`` (doc_id, section_index, title) where that is a
+    table. ``generated`` says when, if it is to be said. ``totals`` (doc_id, passages, duration) stand for what ``passages``
+    hold where those are but the beginning of a document, as in a preview.
     """
     w = Window.partitionBy("doc_id").orderBy("passage_index")
     p = passages.withColumn("opens", ~F.lag("section_title").over(w).eqNullSafe(F.col("section_title")))
     clock = format_clock(F.col("cue_start"))
+    marked = F.col("opens") & F.lit(sections is not False)
     if fmt == "txt":
-        mark = F.when(F.col("opens") & F.lit(sections), F.concat(F.lit("\n--- "), "section_title", F.lit(" ---\n\n"))).otherwise("")
+        mark = F.when(marked, F.concat(F.lit("\n--- "), "section_title", F.lit(" ---\n\n"))).otherwise("")
         stamp = F.concat(F.lit("["), clock, F.lit("] ")) if timestamps else F.lit("")
-        block = F.concat(mark, stamp, "text", F.lit("\n\n"))
+        block = F.concat(_or_empty(mark), stamp, "text", F.lit("\n\n"))
     elif fmt == "md":
-        mark = F.when(F.col("opens") & F.lit(sections), F.concat(F.lit("## "), "section_title", F.lit("\n\n"))).otherwise("")
+        mark = F.when(marked, F.concat(F.lit("## "), "section_title", F.lit("\n\n"))).otherwise("")
         stamp = F.concat(F.lit("<sub>`"), clock, F.lit("`</sub>\n\n")) if timestamps else F.lit("")
-        block = F.concat(mark, stamp, "text", F.lit("\n\n"))
+        block = F.concat(_or_empty(mark), stamp, "text", F.lit("\n\n"))
     else:
-        block = F.to_json(F.struct(F.col("passage_index").alias("index"), F.round("cue_start", 3).alias("start"), F.round("cue_end", 3).alias("end"), "text", F.col("section_title").alias("sectionTitle")))
+        cue = F.struct(F.col("passage_index").alias("index"), F.round("cue_start", 3).alias("start"), F.round("cue_end", 3).alias("end"), "text", F.col("section_title").alias("sectionTitle"))
+        block = F.to_json(cue)
     made = p.withColumn("block", block).groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("passage_index", "block"))).alias("b"), F.count("*").alias("n"), F.max("cue_end").alias("duration")
     )
     rows = docs.join(made, "doc_id").withColumn("blocks", F.transform("b", lambda x: x["block"]))
+    if totals is not None:
+        told = totals.select("doc_id", F.col("passages").alias("_n"), F.col("duration").alias("_duration"))
+        rows = rows.join(told, "doc_id", "left").withColumns({"n": F.coalesce("_n", "n"), "duration": F.coalesce("_duration", "duration")})
+    known = lambda name, kind: F.col(name) if name in docs.columns else F.lit(None).cast(kind)
     length = format_clock(F.col("duration"))
     if fmt == "txt":
         said = F.lit(" (estimated)" if estimated else "")
         rule = F.repeat(F.lit("="), F.least(F.lit(72), F.greatest(F.length("title"), F.lit(24))))
         line = F.concat(_grouped_number(F.col("words")), F.lit(" words - "), _grouped_number(F.col("n")), F.lit(" passages - "), length, said)
-        head = F.concat("title", F.coalesce(F.concat(F.lit("\nby "), "author"), F.lit("")), F.lit("\n"), rule, F.lit("\n"), line, F.lit(f"\nTranscribed on {generated}" if generated else ""), F.lit("\n\n"))
+        by = _or_empty(F.concat(F.lit("\nby "), "author"))
+        head = F.concat("title", by, F.lit("\n"), rule, F.lit("\n"), line, F.lit(f"\nTranscribed on {generated}" if generated else ""), F.lit("\n\n"))
         body = F.regexp_replace(F.concat(head, F.array_join("blocks", "")), r"\n{3,}", "\n\n")
         content = F.concat(F.regexp_replace(body, r"\s+\z", ""), F.lit("\n"))
     elif fmt == "md":
         said = F.lit(" *(estimated)*" if estimated else "")
-        facts = F.concat(F.lit("| | |\n|---|---|\n| **Words** | "), _grouped_number(F.col("words")), F.lit(" |\n| **Passages** | "), _grouped_number(F.col("n")), F.lit(" |\n| **Duration** | "), length, said, F.lit(" |\n"))
+        facts = F.concat(
+            F.lit("| | |\n|---|---|\n| **Words** | "), _grouped_number(F.col("words")), F.lit(" |\n| **Passages** | "), _grouped_number(F.col("n")),
+            F.lit(" |\n| **Duration** | "), length, said, F.lit(" |\n"), _or_empty(F.concat(F.lit("| **Source** | `"), known("name", "string"), F.lit("` |\n"))),
+        )
         made_at = F.lit(f"| **Generated** | {generated} |\n" if generated else "")
-        content = F.concat(F.lit("# "), "title", F.lit("\n\n"), F.coalesce(F.concat(F.lit("*by "), "author", F.lit("*\n\n")), F.lit("")), facts, made_at, F.lit("\n---\n\n"), F.array_join("blocks", ""), F.lit("---\n"))
+        by = _or_empty(F.concat(F.lit("*by "), "author", F.lit("*\n\n")))
+        content = F.concat(F.lit("# "), "title", F.lit("\n\n"), by, facts, made_at, F.lit("\n---\n\n"), F.array_join("blocks", ""), F.lit("---\n"))
     else:
-        stats = F.to_json(F.struct("words", F.col("n").alias("passages"), F.round("duration", 3).alias("durationSeconds"), F.lit(estimated).alias("timingsAreEstimates")))
-        content = F.concat(F.lit('{"title":'), F.to_json(F.array("title")).substr(F.lit(2), F.length(F.to_json(F.array("title"))) - 2), F.lit(',"stats":'), stats, F.lit(',"cues":['), F.array_join("blocks", ","), F.lit("]}"))
+        listed = F.array().cast("array<struct<index:int,title:string>>")
+        if isinstance(sections, DataFrame):
+            entry = F.struct(F.col("section_index").cast("int").alias("index"), "title")
+            own = sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("_sections"))
+            rows, listed = rows.join(own, "doc_id", "left"), F.coalesce("_sections", listed)
+        source = F.struct(known("name", "string").alias("name"), known("kind", "string").alias("kind"), known("pages", "int").alias("pages"))
+        stats = F.struct(
+            "words", known("characters", "long").alias("characters"), F.col("n").alias("passages"), F.round("duration", 3).alias("durationSeconds"),
+            F.lit(estimated).alias("timingsAreEstimates"),
+        )
+        front = F.to_json(F.struct("title", "author", source.alias("source"), stats.alias("stats"), listed.alias("sections")))
+        content = F.concat(F.expr("left(_front, length(_front) - 1)"), F.lit(',"cues":['), F.array_join("blocks", ","), F.lit("]}"))
+        rows = rows.withColumn("_front", front)
     return rows.select("doc_id", content.alias("content"))

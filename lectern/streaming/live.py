@@ -50,23 +50,62 @@ def guard_measurements(reports: DataFrame, passages: DataFrame) -> DataFrame:
     return joined.where("elapsed > 0.05 AND seconds <= est_seconds * 8 AND seconds >= est_seconds / 8").select("session", "doc_id", "passage_index", "seconds")
 
 
-def upsert(spark: SparkSession, path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: keeps the latest row by ``order`` of each key in a table of versions below ``path``.
+KEPT_VERSIONS = 2
 
-    Batch n reads version n - 1 and writes version n whole, so a batch that runs again gives the same table.
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder, as Hadoop sees it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a key bucket that have been written whole, oldest first."""
+    fs, at = _folder(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [str(x.getPath()) for x in fs.listStatus(at)]
+    return sorted(int(n.rpartition("v=")[2]) for n in names if "v=" in n.rpartition("/")[2] and fs.exists(_folder(spark, f"{n}/_SUCCESS")[1]))
+
+
+def upsert(spark: SparkSession, path: str, keys: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: keeps the latest row by ``order`` of each key in a table below ``path``; ``upserted`` reads it.
+
+    Keys are dealt over ``buckets`` folders by hash. A batch reads and writes only the buckets that its keys fall into: batch
+    n makes version n of such a bucket from the newest version before n, so a batch that runs again gives the same table.
+    Versions but the last KEPT_VERSIONS of a bucket are deleted.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch
-        if epoch > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/v={epoch - 1}").unionByName(batch)
         others = [c for c in batch.columns if c not in keys]
-        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(order, *(c for c in others if c != order))).alias("l"))
-        latest.select(*keys, *(f"l.{c}" for c in others)).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        by = F.struct(order, *(c for c in others if c != order))
+        newest = lambda rows: rows.groupBy("_bucket", *keys).agg(F.max_by(F.struct(*others), by).alias("l")).select("_bucket", *keys, *(f"l.{c}" for c in others))
+        fresh = newest(batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))).persist()
+        try:
+            for bucket in sorted(r[0] for r in fresh.select("_bucket").distinct().collect()):  # at most ``buckets``
+                folder = f"{path}/b={bucket}"
+                before = [v for v in _versions(spark, folder) if v < epoch]
+                rows = fresh.where(F.col("_bucket") == bucket)
+                if before:
+                    held = spark.read.schema(batch.schema).parquet(f"{folder}/v={before[-1]}").withColumn("_bucket", F.lit(bucket))
+                    rows = newest(rows.unionByName(held))
+                rows.select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/v={epoch}")
+                for old in before[: -(KEPT_VERSIONS - 1)]:
+                    fs, at = _folder(spark, f"{folder}/v={old}")
+                    fs.delete(at, True)
+        finally:
+            fresh.unpersist()
 
     return merge
 
 
+def upserted(spark: SparkSession, path: str, schema: str, buckets: int = 64) -> DataFrame:
+    """The table that ``upsert`` keeps below ``path``: the newest version of every bucket."""
+    found = [(b, _versions(spark, f"{path}/b={b}")) for b in range(buckets)]
+    paths = [f"{path}/b={b}/v={v[-1]}" for b, v in found if v]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def latest_places(places: DataFrame) -> DataFrame:
     """The batch twin of an upsert of places (reader_id, place_key, passage_index, at)."""
     return places.groupBy("reader_id", "place_key").agg(F.max(F.struct("at", "passage_index")).alias("l")).select("reader_id", "place_key", "l.passage_index", "l.at")
