@@ -152,7 +152,8 @@ def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000, steps:
 
     frames = [choices()] if lengths else []
     while frames and (size > bound or not own):
-        pattern = next(frames[-1], None)
+        allowed = (size - own) * capacity - total - waste  # what may still be left free, if this is to be kept
+        pattern = next(frames[-1], None) if allowed >= 0 else None
         if pattern is None:
             frames.pop()
             if plan:
@@ -160,7 +161,6 @@ def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000, steps:
                 put(done, -times)
             continue
         free = capacity - sum(pattern)
-        allowed = (size - own) * capacity - total - waste  # what may still be left free, if this is to be kept
         times = min(left[x] // n for x, n in Counter(pattern).items())
         if free * times > allowed:
             times = max(1, allowed // free)
