@@ -67,9 +67,10 @@ def test_sentences():
 @given(st.text(alphabet="abc .!?;,\né", max_size=900))
 def test_passages_are_slices_and_lose_nothing(text):
     made = D.pack_passages(text, D.PassagePreset(60, 20, True))
-    assert "".join("".join(text[p["start"] : p["end"]].split()) for p in made) == "".join(text.split())
-    assert all(p["end"] - p["start"] <= 60 for p in made)
-    assert all(a["end"] <= b["start"] for a, b in zip(made, made[1:]))
+    assert "".join("".join(text[a:b].split()) for a, b, _ in made) == "".join(text.split())
+    assert all(b - a <= 60 for a, b, _ in made)
+    assert all(p[1] <= q[0] for p, q in zip(made, made[1:]))
+    assert all(0 <= x < y <= b - a for a, b, spans in made for x, y in spans)
 
 
 def test_as_of(spark):
@@ -97,7 +98,7 @@ def test_plain_parts():
 
 
 def test_tokens():
-    flags = {t["start"]: t for t in R.word_tokens('He said, "Go." Dr. Who paid $3.50 in 1999.\n\nNext')}
+    flags = {t[0]: dict(zip(R.FLAGS, t[2:])) for t in R.word_tokens('He said, "Go." Dr. Who paid $3.50 in 1999.\n\nNext')}
     word = lambda w, text='He said, "Go." Dr. Who paid $3.50 in 1999.\n\nNext': flags[text.index(w)]
     assert word("said,")["ends_clause"] and word('"Go."')["ends_sentence"] and not word("Dr.")["ends_sentence"]
     assert word("$3.50")["numeric"] and word("1999.")["ends_paragraph"] and not word("1999.")["ends_sentence"] and word("Next")["ends_paragraph"]
