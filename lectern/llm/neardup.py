@@ -29,7 +29,7 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 BINS, BITS = 8192, 4096  # of the sketches
 WORDS = BITS // 64
-BLOCK, FAMILY = 1024, 64  # classes that meet in a task, pairs of a leader that one task confirms
+BLOCK, FAMILY = 512, 64  # classes that meet in a task, pairs of a leader that one task confirms
 ASKING, HELD = 256, 4_000_000  # classes that ask and shingles that are held, for one confirming group
 FIRST = 16
 LONG = 256  # bytes from which a word is hashed by itself

@@ -119,8 +119,12 @@ def test_samples_agree_as_often_as_sets_are_alike():
         assert abs(np.mean(same) - size / (size + 2 * (size // 4))) < 0.03
 
 
-def test_a_large_group_of_near_copies(spark):
-    """Many near copies around one text, most of them linked, against all pairs."""
+@pytest.mark.parametrize("block, asking", [(512, 256), (20, 3)])
+def test_a_large_group_of_near_copies(spark, monkeypatch, block, asking):
+    """Many near copies around one text, most of them linked, against all pairs; in one block, and in many that meet."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "ASKING", asking)
+    monkeypatch.setattr(neardup, "HELD", neardup.HELD if block > 20 else 500)
     rng = random.Random(12)
     base = [f"w{i}" for i in range(120)]
     texts = []

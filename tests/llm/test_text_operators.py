@@ -226,7 +226,7 @@ def test_long_odd_tokens_are_decoded():
     assert reader.hits("-".join("riverstonegardengrumbotletter"))[0] == 5.0
     assert reader.hits("_".join("river" * 400 + "snorkwad"))[0] == 4.0
     for t in ("aaaaaa", "b__________b", "1111x--", "$$$$", "...", "x***y"):
-        assert toxicity.lattice(toxicity.squeeze(t), "abc") == toxicity.lattice(t, "abc")
+        assert toxicity.restore(toxicity.squeeze(t), model.chars) == toxicity.restore(t, model.chars)
 
 
 def test_spaced_stems_and_long_words():
@@ -281,12 +281,12 @@ def test_perspectives(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", None), (1, 3, None, "Bye"), (2, 0, "system", "alone"), (None, 1, "x", "y"), (1, 1, "ann", "Hi <|im_end|>")]
     made = chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = made.where("conv_id = 1").collect()
-    assert {r.perspective for r in got} == {"ann", "bob", "unknown"} and len(got) == 15
+    assert {r.perspective for r in got} == {"ann", "bob", None} and len(got) == 15
     text = {r.perspective: r for r in chat.dialogues(made).where("conv_id = 1").collect()}
     bob = text["bob"]
     assert bob.text.startswith("<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>user name=ann\nHi <\\|im_end|>")
     assert [bob.text[m.start : m.end] for m in bob.masks] == ["<|im_end|>\n"]
-    assert [text["unknown"].text[m.start : m.end] for m in text["unknown"].masks] == ["Bye<|im_end|>\n"]
+    assert [text[None].text[m.start : m.end] for m in text[None].masks] == ["Bye<|im_end|>\n"]
     assert {r.perspective for r in made.where("conv_id IS NULL").collect()} == {"x"} and made.where("conv_id = 2").count() == 0
 
 
