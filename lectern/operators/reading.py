@@ -78,7 +78,7 @@ def tokenize_words(passages: DataFrame, width: int = WIDTH) -> DataFrame:
                 flat = [pa.array(no, pa.int32()), pa.array(words, pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of, pa.int64())) for c in part.columns[2:]), *flat], ["doc_id", "passage_index", *made])
 
-    given = passages.select("text", F.col("start").cast("int").alias("start"), "doc_id", "passage_index")
+    given = passages.select("text", F.coalesce(F.col("start").cast("int"), F.lit(0)).alias("start"), "doc_id", "passage_index")
     kinds = [f"`{c}` {given.schema[c].dataType.simpleString()}" for c in ("doc_id", "passage_index")]
     flags = ", ".join(f"{c} boolean" for c in FLAGS)
     rows = given.mapInArrow(cut, f"{', '.join(kinds)}, token_no int, text string, start int, end int, {flags}")

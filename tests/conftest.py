@@ -14,11 +14,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 @pytest.fixture(scope="session")
 def spark():
     local = tempfile.mkdtemp(prefix="spark-")
-    session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", local).config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", f"{local}/warehouse")
-        .getOrCreate()
-    )
+    conf = {
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.session.timeZone": "UTC", "spark.local.dir": local, "spark.driver.memory": "4g",
+        "spark.sql.warehouse.dir": f"{local}/warehouse", "spark.checkpoint.dir": f"file://{local}/shared",
+    }
+    session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
