@@ -42,6 +42,20 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+TASK_BYTES, LEAST_BYTES = 128_000_000, 4_000_000
+
+
+def dealt_by_bytes(rows: DataFrame, *order: str, length: str = "length") -> DataFrame:
+    """``rows`` in ``order``, over as many tasks as the summed ``length`` asks for, which is that of what they stand for.
+
+    The number is given, as index rows are small and adaptive execution would deal them by their own size.
+    """
+    total = rows.agg(F.sum(length)).head()[0] or 0
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-total // TASK_BYTES), min(cores, -(-total // LEAST_BYTES)))
+    return rows.repartitionByRange(tasks, *order[:2]).sortWithinPartitions(*order)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path
+from .common import dealt_by_bytes, materialise, new_path
 from .store import Appender, Ranges
 
 ROW = 64
@@ -149,5 +149,5 @@ def _read(places: DataFrame, schema: str, row) -> DataFrame:
         finally:
             ranges.close()
 
-    sorted_places = places.select("digest", "shard", "offset", "length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    sorted_places = dealt_by_bytes(materialise(places.select("digest", "shard", "offset", "length"), "media-places"), "shard", "offset")
     return sorted_places.mapInArrow(read, f"digest binary, shard string, offset long, length long, {schema}")

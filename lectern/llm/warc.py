@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path
+from .common import dealt_by_bytes, materialise, new_path
 from .store import Appender, Ranges, open_fs
 
 # The header fields of the two ARC versions.
@@ -36,7 +36,6 @@ PLACE = "shard string, offset long, length long, inner long, size long, packed b
 INDEX = f"page_id long, {PLACE}, payload_bytes long, digest binary"
 RECORDS = "page_id long, record_id string, record_type string, target string, date string, payload_bytes long, payload_digest string, refers_to_id string"
 WRITTEN = "page_id long, path string, offset long, length long"
-TASK_BYTES, LEAST_BYTES = 128_000_000, 4_000_000
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -296,17 +295,6 @@ def mark_revisits(index: DataFrame, least: int = 1000) -> DataFrame:
     return joined.select(*kept, *(first[c].alias(f"first_{c}") for c in place))
 
 
-def _dealt(rows: DataFrame, file: str) -> DataFrame:
-    """``rows`` in order of file and offset, over as many tasks as the bytes that they stand for ask for.
-
-    The number is given, as index rows are small and adaptive execution would deal by their own size.
-    """
-    total = rows.agg(F.sum("length")).head()[0] or 0
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, -(-total // TASK_BYTES), min(cores, -(-total // LEAST_BYTES)))
-    return rows.repartitionByRange(tasks, file, "offset").sortWithinPartitions(file, "offset", *(["inner"] if "inner" in rows.columns else []))
-
-
 def warc_of(head: dict[str, str], content: bytes, own: str, first: str | None) -> bytes:
     """The WARC record that stands for an ARC record of identifier ``own``; with ``first``, a revisit of that one.
 
@@ -352,7 +340,7 @@ def convert(marked: DataFrame, folder: str, file_bytes: int = 1_000_000_000) ->
             if out is not None:
                 out.close()
 
-    return materialise(_dealt(marked, "shard").mapInArrow(write, WRITTEN), "warc-index")
+    return materialise(dealt_by_bytes(marked, "shard", "offset", "inner").mapInArrow(write, WRITTEN), "warc-index")
 
 
 def _read_back(head: dict[str, str], block: bytes, page_id: int | None) -> tuple | None:
@@ -385,7 +373,7 @@ def read_records(written: DataFrame) -> DataFrame:
         finally:
             ranges.close()
 
-    return _dealt(written, "path").select("page_id", "path", "offset", "length").mapInArrow(read, RECORDS)
+    return dealt_by_bytes(written, "path", "offset").select("page_id", "path", "offset", "length").mapInArrow(read, RECORDS)
 
 
 def read_warc(paths: DataFrame) -> DataFrame:
