@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, media, neardup, packing, quality, sharding, topk, toxicity, warc
+from . import alignment, bpe, chat, langid, media, neardup, packing, quality, sharding, spelling, topk, toxicity, warc
 from .common import table
 
 
@@ -54,12 +54,20 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op11_identity_map_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score_alignment(table(spark, sf_dir, "documents"), keep_groups=False)
+
+
 def op12_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.histogram_shards(table(spark, sf_dir, "documents"))
     crc = F.crc32(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")).alias("text_crc32")
     return sharded.select("row.doc_id", "size", crc, "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_composed_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 OP8_SQL = """
 WITH fine AS (
   SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
@@ -85,7 +93,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_quadratic_discriminant, op3_bpe_chunk_reuse, op4_odd_sketch_near_duplicates, op5_noisy_channel_toxicity, op6_kneser_ney_language,
-        op7_media_tar_shards, op8_norm_bucketed_top_k, op9_arc_to_warc, op10_perspective_rotation, op12_histogram_sort_shards,
+        op7_media_tar_shards, op8_norm_bucketed_top_k, op9_arc_to_warc, op10_perspective_rotation, op11_identity_map_alignment,
+        op12_histogram_sort_shards, op13_composed_spelling_variants,
     )
 }
 ORACLES: dict[str, str] = {"op8_norm_bucketed_top_k": OP8_SQL, "op9_arc_to_warc": OP9_SQL, "op10_perspective_rotation": chat.ORACLE}
