@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_words, estimate_seconds, is_blank, pause_after
+from ..streaming.live import STATE_STORE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,29 +42,36 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def streamed(df: DataFrame, name: str, halves: str, run, sink=None) -> DataFrame | None:
+def streamed(df: DataFrame, name: str, halves: str, run, sink=None, mode: str = "append") -> DataFrame | None:
     """What the live job ``run`` makes of ``df`` as a stream that arrives in two halves, those rows first that ``halves`` names.
 
-    Each half is a run to the end of what is there, with one checkpoint, so state and progress carry over. Results go to a
-    folder and are read back, or to ``sink`` (a function for ``foreachBatch``), and then None is returned. Batches without
-    data are off meanwhile: jobs with timeouts by the clock would go on with them for ever.
+    Each half is a run to the end of what is there, with one checkpoint, so state, progress and the watermark carry over; a
+    last batch without data lets state go that the watermark has passed. Results go to a folder and are read back, or to
+    ``sink`` (a function for ``foreachBatch``), and then None is returned.
     """
     spark = df.sparkSession
-    at, idle = scratch(spark, name), "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(idle)
-    spark.conf.set(idle, "false")
+    at, (store, rocks) = scratch(spark, name), STATE_STORE
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, rocks)
     try:
         for half in (halves, f"NOT ({halves})"):
             df.where(half).write.mode("append").parquet(f"{at}/in")
             out = run(spark.readStream.schema(df.schema).parquet(f"{at}/in"))
-            writer = out.writeStream.option("checkpointLocation", f"{at}/progress").trigger(availableNow=True)
-            started = writer.foreachBatch(sink).start() if sink else writer.format("parquet").outputMode("append").start(f"{at}/out")
+            writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True)
+            started = writer.foreachBatch(sink).start() if sink else writer.format("parquet").start(f"{at}/out")
             started.awaitTermination()
     finally:
-        spark.conf.set(idle, before)
+        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
     return None if sink else spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what a stream is joined with is made once, not once a batch."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, start): every line with its offset."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))

@@ -1112,23 +1112,42 @@ BOUNDARY = f"{Q.PASSAGES}, {Q.EVENTS}, b AS (SELECT *, epoch % 3 AS pi, 40 AS ch
 
 def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = I.events(spark, sf_dir)
-    return e.select("session", "event_id", F.col("session").alias("doc_id"), (F.col("epoch") % 3).alias("passage_index"), F.lit(40).alias("char_index"), "elapsed", "rate", "resumed", "ts")
+    return e.select("session", "event_id", F.col("session").alias("doc_id"), (F.col("epoch") % 3).alias("passage_index"), F.lit(40).alias("char_index"), "elapsed", "rate", "resumed", F.col("ts").cast("timestamp").alias("ts"))
+
+
+# Events arrive in two runs: those of the first six tenths of the time, but for one in 25 of its first fifth, which come with
+# the second run and are late by then.
+ARRIVALS = """reach AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events),
+arrivals AS (SELECT e.*, epoch_us(ts) AS us, epoch_us(ts) < low + (high - low) * 6 // 10 AND NOT (event_id % 25 = 3 AND epoch_us(ts) < low + (high - low) * 2 // 10) AS first_run FROM {EV} e, reach)"""
+
+
+def first_run(events: DataFrame) -> str:
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.coalesce(F.min(us), F.lit(0)), F.coalesce(F.max(us), F.lit(0))).head()
+    at = "unix_micros(CAST(ts AS timestamp))"
+    return f"{at} < {low + (high - low) * 6 // 10} AND NOT (event_id % 25 = 3 AND {at} < {low + (high - low) * 2 // 10})"
 
 
 @query(
     f"""WITH {BOUNDARY} SELECT b.event_id, CAST(t.start + least(40, length(t.body)) AS INTEGER) AS cursor, round(t.cue_end - t.est_seconds + b.elapsed, 6) AS position FROM b JOIN timed t ON t.doc_id = b.session AND t.passage_index = b.pi"""
 )
 def r2_stream_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = L.prefix(passages(spark, sf_dir))
-    return V.stream_cursor(boundary(spark, sf_dir), p).select("event_id", "cursor", F.round("position", 6).alias("position"))
+    p = I.written(L.prefix(passages(spark, sf_dir)), "passages")
+    given = boundary(spark, sf_dir)
+    live = I.streamed(given, "r2", first_run(given), lambda stream: V.stream_cursor(stream, p))
+    return live.select("event_id", "cursor", F.round("position", 6).alias("position"))
 
 
 @query(
-    f"""WITH {BOUNDARY}, l AS (SELECT session, pi, elapsed FROM b WHERE NOT resumed QUALIFY row_number() OVER (PARTITION BY session, pi ORDER BY ts DESC, elapsed DESC) = 1)
+    f"""WITH {BOUNDARY}, {ARRIVALS.replace("{EV}", "b")}, mark AS (SELECT max(us) // 1000 * 1000 - 600000000 AS mark FROM arrivals WHERE first_run AND NOT resumed),
+l AS (SELECT session, pi, elapsed FROM arrivals, mark WHERE NOT resumed AND (first_run OR (us // 86400000000 + 1) * 86400000000 > mark) QUALIFY row_number() OVER (PARTITION BY session, pi ORDER BY us DESC, elapsed DESC) = 1)
 SELECT l.session, l.session AS doc_id, l.pi AS passage_index, l.elapsed AS seconds FROM l JOIN passages p ON p.doc_id = l.session AND p.passage_index = l.pi WHERE elapsed > 0.05 AND elapsed <= est_seconds * 8 AND elapsed >= est_seconds / 8"""
 )
 def r3_stream_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.guard_measurements(V.last_elapsed(boundary(spark, sf_dir)), passages(spark, sf_dir))
+    p = I.written(passages(spark, sf_dir).select("doc_id", "passage_index", "est_seconds"), "passages")
+    given, path = boundary(spark, sf_dir), I.scratch(spark, "measured")
+    I.streamed(given, "r3", first_run(given), V.live_elapsed, V.measurement_sink(spark, path, p, 8), "update")
+    return V.measurements(spark, path)
 
 
 @query(f"""WITH {PLACES} SELECT reader_id, place_key, passage_index FROM places QUALIFY row_number() OVER (PARTITION BY reader_id, place_key ORDER BY moment DESC, passage_index DESC) = 1""")
@@ -1137,16 +1156,20 @@ def r4_stream_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = I.scratch(spark, "places")
     first = "reader_id % 2 = 0 OR passage_index < 6"
     I.streamed(given, "r4", first, lambda stream: stream, V.upsert(spark, path, ["reader_id", "place_key"], "at", 8))
-    return V.upserted(spark, path, given.schema, 8).drop("at")
+    return V.upserted(spark, path, given.schema).drop("at")
 
 
 @query(
-    """WITH e AS (SELECT user_id AS session, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), m AS (SELECT *, CASE WHEN before IS NULL OR ts - before > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS opens FROM e),
-s AS (SELECT *, sum(opens) OVER (PARTITION BY session ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM m) SELECT session, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS events FROM s GROUP BY session, n"""
+    f"""WITH {ARRIVALS.replace("{EV}", "events")}, mark AS (SELECT max(us) FILTER (WHERE first_run) // 1000 * 1000 - 3600000000 AS mark, max(us) // 1000 * 1000 - 3600000000 AS last_mark FROM arrivals),
+e AS (SELECT user_id AS session, us, lag(us) OVER (PARTITION BY user_id ORDER BY us) AS before FROM arrivals, mark WHERE first_run OR us + 21600000000 > mark),
+s AS (SELECT *, sum(CASE WHEN us - before <= 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY session ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM e)
+SELECT session, min(us) AS started, max(us) AS ended, count(*) AS events FROM s, mark GROUP BY session, n, last_mark HAVING max(us) + 21600000000 <= last_mark"""
 )
 def r5_reading_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = V.reading_sessions(I.events(spark, sf_dir), gap="6 hours")
-    return made.select("session", F.unix_micros(F.col("started").cast("timestamp")).alias("started"), F.unix_micros(F.col("ended").cast("timestamp")).alias("ended"), "events")
+    """The sessions that are closed when the stream has been read: an hour of watermark beyond the gap."""
+    given = I.events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    made = I.streamed(given, "r5", first_run(given), lambda stream: V.reading_sessions(stream, "1 hour", "6 hours"))
+    return made.select("session", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "events")
 
 
 @query(
@@ -1157,7 +1180,7 @@ def r6_reject_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = I.events(spark, sf_dir).withColumn("session", F.col("session") * 1_000_000 + F.floor(F.col("event_id") / 2000))
     e = e.select("session", "event_id", "epoch", "ts")
     half = e.agg(F.expr("percentile_approx(unix_micros(CAST(ts AS timestamp)), 0.5)")).head()[0] or 0
-    live = I.streamed(e, "r6", f"unix_micros(CAST(ts AS timestamp)) < {half}", V.reject_stale)
+    live = I.streamed(e, "r6", f"unix_micros(CAST(ts AS timestamp)) < {half}", lambda stream: V.reject_stale(stream, "30 days"))
     return live.select("session", "event_id", "epoch")
 
 
@@ -1179,7 +1202,8 @@ def r8_dedupe_live_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dialogues as live cues, their first two turns first."""
     t = I.table(spark, sf_dir, "conversations")
     c = t.select(F.col("conv_id").alias("track_id"), F.col("turn").cast("int").alias("cue_no"), (F.col("turn") * 2.0).alias("start"), (F.col("turn") * 2.0 + 1.8).alias("end"), F.coalesce("text", F.lit("")).alias("text"))
-    return I.streamed(c, "r8", "cue_no < 2", V.stream_dedupe_cues)
+    began = 1_704_067_200  # tracks that go on at one time; event time 0 would be behind the first watermark
+    return I.streamed(c.withColumn("ts", F.timestamp_seconds(F.col("start") + began)), "r8", "cue_no < 2", lambda stream: V.stream_dedupe_cues(stream, "1 day"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,27 @@
 """Live jobs: passages of arriving documents, cursors, measurements, places, sessions, stale events, rolling captions.
 
-Most take a static or a streaming DataFrame alike. Stateful ones keep a watermark or a timeout, so state ends with its session.
+Most take a static or a streaming DataFrame alike. Stateful ones keep a watermark, and state goes when event time has passed it by.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..functions.text import normalize_text
 from ..operators.captions import _words, overlap_of
 from ..operators.documents import PRESETS, PassagePreset, build_passages
 
 GAP = "1200 milliseconds"
+REPORTED = ["session", "doc_id", "passage_index"]
+#: Setting of sessions that run ``reject_stale`` or ``stream_dedupe_cues`` as streams: their state is typed and has timers.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def stream_passages(docs: DataFrame, preset: str | PassagePreset = "balanced") -> DataFrame:
@@ -34,23 +40,64 @@ def stream_cursor(events: DataFrame, passages: DataFrame) -> DataFrame:
     return events.join(p, ["doc_id", "passage_index"]).select(*events.columns, cursor.alias("cursor"), (F.col("before") + F.col("elapsed")).alias("position"))
 
 
-def last_elapsed(events: DataFrame, watermark: str | None = None) -> DataFrame:
+def last_elapsed(events: DataFrame) -> DataFrame:
     """(session, doc_id, passage_index, elapsed, rate): the last report of each passage that was not resumed midway."""
-    fresh = events.where("NOT resumed")
-    if watermark:
-        fresh = fresh.withWatermark("ts", watermark)
-    order = F.struct("ts", "elapsed")
-    return fresh.groupBy("session", "doc_id", "passage_index").agg(F.max_by(F.struct("elapsed", "rate"), order).alias("l")).select("session", "doc_id", "passage_index", "l.elapsed", "l.rate")
+    latest = F.max_by(F.struct("elapsed", "rate"), F.struct("ts", "elapsed"))
+    return events.where("NOT resumed").groupBy(*REPORTED).agg(latest.alias("l")).select(*REPORTED, "l.elapsed", "l.rate")
+
+
+def live_elapsed(events: DataFrame, watermark: str = "10 minutes", window: str = "1 day") -> DataFrame:
+    """The live twin of ``last_elapsed``, for update mode: (session, doc_id, passage_index, ts, elapsed, rate).
+
+    State is held by passage and ``window`` of event time, and goes when the watermark has passed the window's end; reports
+    that come later than that are dropped. A passage reported in several windows has a row from each, so what is made of
+    them keeps the newest by ts and elapsed (``measurement_sink`` does).
+    """
+    fresh = events.where("NOT resumed").withWatermark("ts", watermark)
+    latest = F.max_by(F.struct("ts", "elapsed", "rate"), F.struct("ts", "elapsed"))
+    return fresh.groupBy(*REPORTED, F.window("ts", window)).agg(latest.alias("l")).select(*REPORTED, "l.ts", "l.elapsed", "l.rate")
+
+
+def measured_seconds() -> Column:
+    """Seconds at rate 1 of a report (elapsed, rate) beside its passage's est_seconds; null for what is no measurement.
+
+    One counts with more than 0.05 s heard, and within a factor of eight of the estimate.
+    """
+    seconds, estimate = F.col("elapsed") * F.col("rate"), F.col("est_seconds")
+    return F.when((F.col("elapsed") > 0.05) & (seconds <= estimate * 8) & (seconds >= estimate / 8), seconds)
 
 
 def guard_measurements(reports: DataFrame, passages: DataFrame) -> DataFrame:
-    """Reports as seconds at rate 1: above 0.05 s heard, and within a factor of eight of the estimate."""
-    seconds = F.col("elapsed") * F.col("rate")
-    joined = reports.join(passages.select("doc_id", "passage_index", "est_seconds"), ["doc_id", "passage_index"]).withColumn("seconds", seconds)
-    return joined.where("elapsed > 0.05 AND seconds <= est_seconds * 8 AND seconds >= est_seconds / 8").select("session", "doc_id", "passage_index", "seconds")
+    """(session, doc_id, passage_index, seconds) of the reports that are measurements of known passages."""
+    joined = reports.join(passages.select("doc_id", "passage_index", "est_seconds"), ["doc_id", "passage_index"])
+    return joined.withColumn("seconds", measured_seconds()).where("seconds IS NOT NULL").select(*REPORTED, "seconds")
+
+
+MEASURED = "session long, doc_id long, passage_index int, ts timestamp, elapsed double, seconds double"
+
+
+def measurement_sink(spark: SparkSession, path: str, passages: DataFrame, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` behind ``live_elapsed``: joins a batch with the static ``passages``, guards it, and upserts it.
+
+    The newest report of a passage is kept even where it is no measurement (its seconds are null then): it takes back what an
+    earlier one had measured, as in the batch. A batch that runs again changes nothing. ``measurements`` reads the table.
+    """
+    merge = upsert(spark, path, REPORTED, "ts", buckets)
+    static = passages.select("doc_id", "passage_index", "est_seconds")
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        guarded = batch.join(static, ["doc_id", "passage_index"], "left").withColumn("seconds", measured_seconds())
+        merge(guarded.select(*REPORTED, "ts", "elapsed", "seconds"), epoch)
+
+    return sink
+
+
+def measurements(spark: SparkSession, path: str) -> DataFrame:
+    """(session, doc_id, passage_index, seconds) from the table that ``measurement_sink`` keeps."""
+    return upserted(spark, path, MEASURED).where("seconds IS NOT NULL").select(*REPORTED, "seconds")
 
 
-KEPT_VERSIONS = 2
+KEPT_MANIFESTS = 2
 
 
 def _folder(spark: SparkSession, path: str):
@@ -59,21 +106,38 @@ def _folder(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions of a key bucket that have been written whole, oldest first."""
-    fs, at = _folder(spark, path)
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the manifests below ``path``, oldest first."""
+    fs, at = _folder(spark, f"{path}/manifests")
     if not fs.exists(at):
         return []
-    names = [str(x.getPath()) for x in fs.listStatus(at)]
-    return sorted(int(n.rpartition("v=")[2]) for n in names if "v=" in n.rpartition("/")[2] and fs.exists(_folder(spark, f"{n}/_SUCCESS")[1]))
+    return sorted(int(n) for n in (x.getPath().getName() for x in fs.listStatus(at)) if n.isdigit())
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """Of each bucket that has rows, the version that holds them."""
+    row = spark.read.text(f"{path}/manifests/{number}", wholetext=True).head()
+    return {int(b): v for b, v in json.loads(row[0]).items()}
+
+
+def _commit(spark: SparkSession, path: str, number: int, versions: dict[int, int]) -> None:
+    """Puts a manifest in its place whole: written beside it, then renamed over whatever an earlier attempt left."""
+    fs, at = _folder(spark, f"{path}/manifests/{number}")
+    draft = _folder(spark, f"{path}/manifests/{number}.draft")[1]
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps(versions).encode()))
+    out.close()
+    fs.delete(at, True)
+    fs.rename(draft, at)
 
 
 def upsert(spark: SparkSession, path: str, keys: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: keeps the latest row by ``order`` of each key in a table below ``path``; ``upserted`` reads it.
 
-    Keys are dealt over ``buckets`` folders by hash. A batch reads and writes only the buckets that its keys fall into: batch
-    n makes version n of such a bucket from the newest version before n, so a batch that runs again gives the same table.
-    Versions but the last KEPT_VERSIONS of a bucket are deleted.
+    Keys are dealt over ``buckets`` by hash. A batch reads the buckets that its keys fall into and writes all of them in one
+    job, as version n of batch n; a small manifest then names the version of every bucket, and only that makes the batch
+    visible. Batch n starts from the last manifest before n, so a batch that runs again gives the same table. Versions that
+    the last KEPT_MANIFESTS manifests don't name are deleted.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
@@ -82,27 +146,37 @@ def upsert(spark: SparkSession, path: str, keys: list[str], order: str, buckets:
         newest = lambda rows: rows.groupBy("_bucket", *keys).agg(F.max_by(F.struct(*others), by).alias("l")).select("_bucket", *keys, *(f"l.{c}" for c in others))
         fresh = newest(batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))).persist()
         try:
-            for bucket in sorted(r[0] for r in fresh.select("_bucket").distinct().collect()):  # at most ``buckets``
-                folder = f"{path}/b={bucket}"
-                before = [v for v in _versions(spark, folder) if v < epoch]
-                rows = fresh.where(F.col("_bucket") == bucket)
-                if before:
-                    held = spark.read.schema(batch.schema).parquet(f"{folder}/v={before[-1]}").withColumn("_bucket", F.lit(bucket))
-                    rows = newest(rows.unionByName(held))
-                rows.select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/v={epoch}")
-                for old in before[: -(KEPT_VERSIONS - 1)]:
-                    fs, at = _folder(spark, f"{folder}/v={old}")
-                    fs.delete(at, True)
+            touched = sorted(r[0] for r in fresh.select("_bucket").distinct().collect())  # at most ``buckets``
+            before = [n for n in _manifests(spark, path) if n < epoch]
+            versions = _manifest(spark, path, before[-1]) if before else {}
+            rows = fresh
+            if held := [f"{path}/v={versions[b]}/_bucket={b}" for b in touched if b in versions]:
+                # the base path makes _bucket a column again
+                old = spark.read.schema(batch.schema).option("basePath", path).parquet(*held).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+                rows = newest(rows.unionByName(old.select(*rows.columns)))
+            if touched:
+                rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/v={epoch}")
+            now = versions | dict.fromkeys(touched, epoch)
+            _commit(spark, path, epoch, now)
+            kept = {(v, b) for n in before[-(KEPT_MANIFESTS - 1) :] for b, v in _manifest(spark, path, n).items()} | {(v, b) for b, v in now.items()}
+            for n in before[: -(KEPT_MANIFESTS - 1)]:
+                for b, v in _manifest(spark, path, n).items():
+                    if (v, b) not in kept:
+                        fs, at = _folder(spark, f"{path}/v={v}/_bucket={b}")
+                        fs.delete(at, True)
+                fs, at = _folder(spark, f"{path}/manifests/{n}")
+                fs.delete(at, True)
         finally:
             fresh.unpersist()
 
     return merge
 
 
-def upserted(spark: SparkSession, path: str, schema: str, buckets: int = 64) -> DataFrame:
-    """The table that ``upsert`` keeps below ``path``: the newest version of every bucket."""
-    found = [(b, _versions(spark, f"{path}/b={b}")) for b in range(buckets)]
-    paths = [f"{path}/b={b}/v={v[-1]}" for b, v in found if v]
+def upserted(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The table that ``upsert`` keeps below ``path``, as its last manifest has it."""
+    numbers = _manifests(spark, path)
+    versions = _manifest(spark, path, numbers[-1]) if numbers else {}
+    paths = [f"{path}/v={v}/_bucket={b}" for b, v in versions.items()]
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
@@ -118,25 +192,68 @@ def reading_sessions(events: DataFrame, watermark: str = "10 seconds", gap: str
     return grouped.select("session", F.col("w.start").alias("started"), (F.col("w.end") - F.expr(f"INTERVAL {gap}")).alias("ended"), "events")
 
 
-def reject_stale(events: DataFrame) -> DataFrame:
-    """Events (session, event_id, epoch, ts) whose epoch isn't below the newest that their session had shown before, by ts."""
+class Kept(StatefulProcessor):
+    """What is known of a key, as one typed row, until ``idle_ms`` of event time have passed without anything new of it.
+
+    Subclasses have ``FIELDS``, and ``step`` that gives output and the row to keep. Timers follow the watermark, so state ends
+    in batches without data as well.
+    """
+
+    FIELDS = ""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("held", self.FIELDS)
+
+    def step(self, key: tuple, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        given = pd.concat(list(rows))
+        out, held = self.step(key, given, self.held.get() if self.held.exists() else None)
+        self.held.update(held)
+        ends = int(given["ts"].max().timestamp() * 1000) + self.idle_ms
+        known = list(self.handle.listTimers())
+        if not known or max(known) < ends:
+            for t in known:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(ends)
+        yield out
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class Newest(Kept):
+    """Events of a session that aren't below the newest epoch it has shown."""
+
+    FIELDS = "newest int"
+
+    def step(self, key: tuple, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        rows = rows.sort_values(["ts", "event_id"])
+        best = rows["epoch"].cummax()
+        if held is not None:
+            best = best.clip(lower=held[0])
+        return rows[rows["epoch"] >= best], (int(best.iloc[-1]),)
+
+
+def reject_stale(events: DataFrame, watermark: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
+    """Events (session, event_id, epoch, ts) whose epoch isn't below the newest that their session had shown before, by ts.
+
+    As a stream, for append mode: events behind the watermark are dropped, and a session is forgotten when the watermark has
+    passed its last event by ``idle_ms``. The session needs STATE_STORE.
+    """
     if not events.isStreaming:
         w = Window.partitionBy("session").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return events.withColumn("_newest", F.max("epoch").over(w)).where("epoch >= _newest").drop("_newest")
-
-    def keep(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        newest = state.get[0] if state.exists else -(1 << 31)
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        best = rows["epoch"].cummax().clip(lower=newest)
-        state.update((int(best.iloc[-1]),))
-        state.setTimeoutDuration(3_600_000)
-        yield rows[rows["epoch"] >= best]
-
-    schema = events.select("session", "event_id", "epoch", "ts")
-    return schema.groupBy("session").applyInPandasWithState(keep, schema.schema, "newest int", "append", "ProcessingTimeTimeout")
+    rows = events.select("session", "event_id", "epoch", F.col("ts").cast("timestamp").alias("ts"))
+    return rows.withWatermark("ts", watermark).groupBy("session").transformWithStateInPandas(Newest(idle_ms), rows.schema, "Append", "EventTime")
 
 
 def dedupe_inflight(requests: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -148,20 +265,18 @@ def dedupe_inflight(requests: DataFrame, watermark: str = "10 minutes") -> DataF
     return first.select("key", *(f"f.{c}" for c in others)).select(*requests.columns)
 
 
-def stream_dedupe_cues(cues: DataFrame) -> DataFrame:
-    """Live cues (track_id, cue_no, start, end, text) without what the track's last kept cue already said.
+LIVE_CUES = "track_id long, cue_no long, kind string, start double, end double, text string"
 
-    Output only grows, so a cue that adds nothing is a row of kind "extend" with the kept cue's number and the later end.
-    """
-    out = "track_id long, cue_no long, kind string, start double, end double, text string"
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        no, end, text = state.get if state.exists else (-1, 0.0, "")
+class LastCue(Kept):
+    """Cues of a track without what its last kept cue said."""
+
+    FIELDS = "cue_no long, end double, text string"
+
+    def step(self, key: tuple, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        no, end, text = held if held is not None else (-1, 0.0, "")
         made = []
-        for r in pd.concat(list(batches)).sort_values(["start", "cue_no"]).itertuples(index=False):
+        for r in rows.sort_values(["start", "cue_no"]).itertuples(index=False):
             n = overlap_of(text, r.text) if no >= 0 else 0
             words = _words(r.text)
             if n and n == len(words):
@@ -170,8 +285,14 @@ def stream_dedupe_cues(cues: DataFrame) -> DataFrame:
                 continue
             no, end, text = int(r.cue_no), float(r.end), " ".join(words[n:]) if n else r.text
             made.append((key[0], no, "cue", r.start, end, text))
-        state.update((no, end, text))
-        state.setTimeoutDuration(3_600_000)
-        yield pd.DataFrame(made, columns=[x.split()[0] for x in out.split(", ")])
+        return pd.DataFrame(made, columns=[x.split()[0] for x in LIVE_CUES.split(", ")]), (no, end, text)
+
 
-    return cues.groupBy("track_id").applyInPandasWithState(step, out, "cue_no long, end double, text string", "append", "ProcessingTimeTimeout")
+def stream_dedupe_cues(cues: DataFrame, watermark: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
+    """Live cues (track_id, cue_no, start, end, text, ts) without what the track's last kept cue already said.
+
+    Output only grows, so a cue that adds nothing is a row of kind "extend" with the kept cue's number and the later end. Cues
+    behind the watermark on ts are dropped; a track is forgotten when the watermark has passed its last cue by ``idle_ms``.
+    The session needs STATE_STORE.
+    """
+    return cues.withWatermark("ts", watermark).groupBy("track_id").transformWithStateInPandas(LastCue(idle_ms), LIVE_CUES, "Append", "EventTime")
