@@ -22,7 +22,7 @@ from .common import materialise
 from .vocab import byte_encoder, default_path
 
 NONE = -1
-WORD = re.compile(r"[ \n]+[^ \n]*|[^ \n]+")
+WORD = re.compile(r"[ \n]+[^ \n]*")
 OTHER_BLANK = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 FREQUENT = 1 << 16  # irregular pairs that every task gets; all others are joined
 SHIFT = 1 << 20  # a pair of ids as one number: a * SHIFT + b
@@ -40,17 +40,12 @@ class PieceEncoder:
             piece = m.id_to_piece(i)
             self.table.append(bytes([int(piece[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) or m.is_unknown(i) else piece.replace("▁", " ").encode())
         shown = [m.id_to_piece(i) for i in range(len(self.table)) if not m.is_byte(i)]
-        self.blank = m.piece_to_id("▁")
         # no piece holds a line end, or a blank after something else: words then never share one
-        self.by_word = not any("\n" in p or re.search("[^▁]▁", p) for p in shown) and m.encode("a") != [] and m.id_to_piece(m.encode("\n")[0]) == "▁"
+        self.by_word = not any("\n" in p or re.search("[^▁]▁", p) for p in shown)
 
     def encode(self, text: str) -> list[int]:
         return self.model.encode(text)
 
-    def word(self, word: str) -> list[int]:
-        """Ids of a word as it stands within a text: the blank that the model puts before a text is the word's own or goes."""
-        return self.model.encode(word[1:]) if word[0] == " " else self.model.encode(word)[1:]
-
 
 @functools.cache
 def piece_encoder(path: str) -> PieceEncoder:
@@ -68,59 +63,118 @@ def identity(a_table: dict[int, bytes], b_table: list[bytes]) -> np.ndarray:
     return out
 
 
+Alignment = tuple[str, int, int, int, np.ndarray]  # written groups, ids of A, ids of B, groups, linked pairs as numbers
+BLOCK = 20_000  # words that are encoded in one go
+
+
 class Aligner:
-    """Groups of A's and B's ids, by text; keeps up to ``most`` words."""
+    """Alignments of texts; keeps up to ``most`` words.
+
+    ``index`` has a word's number, ``shown`` its written groups; ``sizes`` its ids of A and B and its groups, by number, and
+    ``links`` its pairs from ``first`` on. A word whose groups are None can't be given back by its ids.
+    """
 
-    def __init__(self, a_path: str, b_path: str, most: int = 300_000):
+    def __init__(self, a_path: str, b_path: str, most: int = 500_000):
         self.a, self.b, self.most = byte_encoder(a_path), piece_encoder(b_path), most
         self.same = identity(self.a.table, self.b.table)
-        self.cache: dict[str, tuple] = {}
-
-    def groups(self, data: bytes, a: list[int], b: list[int]) -> tuple[str, int, int, int, np.ndarray] | None:
-        """(written groups, ids of A, ids of B, groups, linked pairs as numbers); None where the ids don't give ``data``."""
-        if b"".join(map(self.b.table.__getitem__, b)) != data or b"".join(map(self.a.table.__getitem__, a)) != data:
+        self.b_widths = np.array([len(x) for x in self.b.table], np.int64)
+        n_a, n_b = len(self.a.widths), len(self.b.table)
+        self.written = np.array([f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)], object)
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.shown: list[str | None] = []
+        self.sizes, self.links, self.first = np.zeros((0, 3), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def block(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+        """(written groups of each word, sizes, pairs) of words that stand in a row; None where the ids don't give them back."""
+        joined = "".join(words)
+        data = joined.encode()
+        a, b = self.a.coder.encode_to_numpy(joined, disallowed_special=()).astype(np.int64), np.array(self.b.encode(joined[1:]), np.int64)
+        ends_a, ends_b = np.cumsum(self.a.widths[a]), np.cumsum(self.b_widths[b])
+        if b"".join(map(self.b.table.__getitem__, b.tolist())) != data or ends_a[-1] != len(data) or not self.b_widths[b].all():
             return None
-        shown, links = [], []
-        i = j = at = bt = 0
-        begin_i = begin_j = 0
-        while i < len(a):
-            at += len(self.a.table[a[i]])
-            i += 1
-            while bt < at and j < len(b):
-                bt += len(self.b.table[b[j]])
-                j += 1
-            if at == bt:
-                shown.append(",".join(map(str, a[begin_i:i])) + "|" + ",".join(map(str, b[begin_j:j])))
-                links.append(a[i - 1] * SHIFT + b[j - 1])
-                begin_i, begin_j = i, j
-        return ";".join(shown), len(a), len(b), len(links), np.array(links, np.int64)
-
-    def whole(self, text: str) -> tuple | None:
-        data = f" {text}"
-        return self.groups(data.encode(), self.a.coder.encode_ordinary(data), self.b.encode(text))
-
-    def text(self, text: str | None) -> tuple[str, int, int, int, np.ndarray] | None:
-        """The alignment of blank + text; None for a text that has no tokens."""
-        if not text:
+        common, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        stops = np.cumsum([len(w.encode()) for w in words])
+        last = np.searchsorted(common, stops)  # each word's last group
+        if (common[np.minimum(last, len(common) - 1)] != stops).any():
             return None
-        if OTHER_BLANK.search(text) or not self.b.by_word:
-            return self.whole(text)
-        words = WORD.findall(f" {text}")
-        found = list(map(self.cache.get, words))
-        if None in found:
-            if len(self.cache) > self.most:
-                self.cache.clear()
-            for i, known in enumerate(found):
-                if known is None:
-                    word = words[i]
-                    known = self.cache.get(word) or self.groups(word.encode(), self.a.coder.encode_ordinary(word), self.b.word(word)) or ()
-                    if len(word) <= 64:
-                        self.cache[word] = known
-                    found[i] = known
-        if () in found:  # the model changes some character
-            return self.whole(text)
-        shown, a, b, groups, links = zip(*found)
-        return ";".join(shown), sum(a), sum(b), sum(groups), np.concatenate(links)
+        i, j = np.arange(len(a)), np.arange(len(b))
+        of_a, of_b = np.searchsorted(at_a, i), np.searchsorted(at_b, j)
+        flat = np.empty(len(a) + len(b), np.int64)
+        flat[i + np.concatenate([[0], at_b + 1])[of_a]] = a + (at_a[of_a] == i) * len(self.a.widths)
+        flat[j + at_a[of_b] + 1] = 2 * len(self.a.widths) + b + (at_b[of_b] == j) * len(self.b.table)
+        parts = self.written[flat].tolist()
+        n = np.stack([at_a[last] + 1, at_b[last] + 1, last + 1], 1)
+        stop = (n[:, 0] + n[:, 1]).tolist()
+        shown = ["".join(parts[x:y])[:-1] for x, y in zip([0, *stop], stop)]
+        return shown, np.diff(n, axis=0, prepend=0), a[at_a] * SHIFT + b[at_b]
+
+    def learn(self, words: list[str]) -> None:
+        """Puts new words into the table. Those of blanks alone stand by themselves: beside others they'd be one run of blanks."""
+        made: list[tuple[list[str], list, np.ndarray, np.ndarray]] = []
+
+        def add(some: list[str]) -> None:
+            found = self.block([" x", *some])  # something of its own in front, so that the blank that B adds is not a word's
+            if found is not None:
+                shown, sizes, links = found
+                made.append((some, shown[1:], sizes[1:], links[sizes[0, 2] :]))
+            elif len(some) > 1:
+                add(some[: len(some) // 2])
+                add(some[len(some) // 2 :])
+            else:
+                made.append((some, [None], np.zeros((1, 3), np.int64), np.zeros(0, np.int64)))
+
+        solid = [w for w in words if not w.endswith((" ", "\n"))]
+        for i in range(0, len(solid), BLOCK):
+            add(solid[i : i + BLOCK])
+        for w in words:
+            if w.endswith((" ", "\n")):
+                add([w])
+        for some, shown, _, _ in made:
+            self.index.update(zip(some, range(len(self.shown), len(self.shown) + len(some))))
+            self.shown += shown
+        self.sizes = np.concatenate([self.sizes, *(m[2] for m in made)])
+        self.links = np.concatenate([self.links, *(m[3] for m in made)])
+        self.first = np.cumsum(self.sizes[:, 2]) - self.sizes[:, 2]
+
+    def whole(self, text: str) -> Alignment | None:
+        """The alignment of blank + text as one word."""
+        found = self.block([f" {text}"])
+        return (found[0][0], *found[1][0].tolist(), found[2]) if found else None
+
+    def texts(self, texts: list[str | None]) -> list[Alignment | None]:
+        """The alignment of blank + text for each; None for a text that has no tokens."""
+        words = [WORD.findall(f" {t}") if t and self.b.by_word and not OTHER_BLANK.search(t) else None for t in texts]
+        numbers = [list(map(self.index.get, ws or ())) for ws in words]
+        new = {w for ws, k in zip(words, numbers) if None in k for w, i in zip(ws, k) if i is None}
+        if new:
+            if len(self.index) + len(new) > self.most:
+                self.forget()
+                new = {w for ws in words for w in ws or ()}
+            self.learn(sorted(new))
+        out = []
+        for text, ws, k in zip(texts, words, numbers, strict=True):
+            if ws is None:
+                out.append(self.whole(text) if text else None)
+                continue
+            if new:
+                k = list(map(self.index.__getitem__, ws))
+            shown = list(map(self.shown.__getitem__, k))
+            if None in shown:  # the model changes some character
+                out.append(self.whole(text))
+                continue
+            n, first = self.sizes[k], self.first[k]
+            groups = n[:, 2]
+            at = np.repeat(first - np.cumsum(groups) + groups, groups) + np.arange(groups.sum())
+            out.append((";".join(shown), *n.sum(0).tolist(), self.links[at]))
+        return out
+
+
+@functools.cache
+def aligner_of(a_path: str, b_path: str) -> Aligner:
+    return Aligner(a_path, b_path)
 
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, links array<long>, times array<int>"
@@ -136,11 +190,11 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     a_path, b_path = a_path or default_path("byte_bpe_50k.json"), b_path or default_path("piece_bpe_32k.model")
 
     def rows(batches):
-        aligner = Aligner(a_path, b_path)
+        aligner = aligner_of(a_path, b_path)  # a worker keeps its words from task to task
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                made = [aligner.text(t.as_py()) or ("", 0, 0, 0, np.zeros(0, np.int64)) for t in part.column(1)]
+                made = [m or ("", 0, 0, 0, np.zeros(0, np.int64)) for m in aligner.texts(part.column(1).to_pylist())]
                 digests = [hashlib.sha256(m[0].encode()).hexdigest() if m[1] else "" for m in made]
                 pairs = [np.unique(m[4], return_counts=True) for m in made]
                 n = [pa.array([m[k] for m in made], pa.int64()) for k in (1, 2, 3)]

@@ -75,8 +75,9 @@ def test_identity_map_and_words():
     for a, b in enumerate(aligner.same):
         assert b == alignment.NONE or aligner.a.table[a] == aligner.b.table[b]
     assert aligner.b.by_word and (aligner.same != alignment.NONE).sum() > 10_000
-    for _, text in texts():
-        got, want = aligner.text(text), aligner.whole(text) if text else None
+    given = [text for _, text in texts()]
+    for text, got in zip(given, aligner.texts(given), strict=True):
+        want = aligner.whole(text) if text else None
         assert (got is None) == (want is None) and (got is None or got[:4] == want[:4] and np.array_equal(got[4], want[4]))
 
 
