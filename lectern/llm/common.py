@@ -66,5 +66,5 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, label) of labels whose document is given; of repeated rows that disagree, the larger label counts."""
+    """(doc_id, label) of labels that are 0 or 1; of repeated rows that disagree, the larger label counts. Callers join them with ``docs``."""
     return labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))

@@ -297,3 +297,92 @@ def test_chunks_are_cut_by_content():
     assert len(chunks(body) & chunks(b"some other beginning " + body)) >= 0.8 * len(chunks(body))
     assert hashlib.sha256(b"".join(body[a:b] for a, b in zip([0, *bpe.cut_points(body)], bpe.cut_points(body)))).digest() == hashlib.sha256(body).digest()
     assert bpe.cut_points(b"") == []
+
+
+def reader_of(weights, words):
+    return toxicity.Reader(toxicity.ToxicModel(weights, toxicity.CharModel.of(dict.fromkeys(words, 50.0)), [0.0] * 4))
+
+
+def test_runs_of_signs_take_time_in_proportion():
+    import time
+
+    reader, began = reader_of({"snorkwad ": 4.0}, ["snorkwad", "plain"]), time.time()
+    for sign in "-*._~=#":
+        for text in ("a. " + sign * 10_000 + "xy", "a " + f"{sign} " * 5_000 + "word", "a " + f"b{sign} " * 5_000 + "zz", "a " + f"b{sign}" * 5_000 + "zz", "|" + sign * 10_000 + "|"):
+            toxicity.runs(text)
+        reader.hits("a. " + sign * 10_000 + "xy. b c")
+    assert time.time() - began < 30
+
+
+def test_runs_of_letters_written_apart():
+    assert toxicity.runs("a b c d ef") == {"a b c d"} and toxicity.runs("x a-b-c-d.") == {"x a-b-c-d"} and toxicity.runs("a b c d e-fg h") == {"a b c d"}
+    assert toxicity.runs("a-b-c-d-efg") == set() and toxicity.runs("f * c k") == {"f * c k"} and toxicity.runs("a b c") == set() and toxicity.runs("f . u . n") == {"f . u . n"}
+
+
+def test_one_rule_for_disguises_of_any_length():
+    reader = reader_of({"snorkwad ": 4.0, "snor": 3.0}, ["snorkwad", "plain", "xylophone"])
+    for size in (20, 32, 38, 39, 40, 41, 42, 43, 50, 139, 140, 400):
+        begun, stem = ("sn0rkw4d" + "plain" * 80)[:size], ("sn0rp" + "plain" * 80)[:size]
+        within, last = ("plain" * 2 + "sn0rkw4d" + "plain" * 80)[:size], "plain" * ((size - 8) // 5) + "sn0rkw4d"
+        assert [reader.token(t) for t in (begun, stem, within, last, ("pla1n" * 80)[:size])] == [4.0, 3.0, 4.0, 4.0, 0.0], size
+
+
+def test_masked_words_are_looked_up():
+    reader = reader_of({"snorkwad ": 4.0, "fig ": 9.0, "grumbot ": 2.0}, ["snorkwad", "snarkwed", "fig", "grumbot"])
+    assert reader.token("sn**kw*d") == 4.0 and reader.token("g**mb*t!") == 2.0
+    assert reader.masked("f*g") == 0.0 and reader.masked("********") == 0.0 and reader.masked("x**rkw*d") == 0.0
+
+
+def plain_hits(model, text):
+    """The definition read straight: each token's best weight, each spaced run's best, without caches."""
+    def word(w):
+        return max([model.weights.get(w + " ", 0.0), *(model.weights.get(w[:n], 0.0) for n in range(4, min(9, len(w)) + 1))])
+
+    out = []
+    for t in set(text.split()):
+        core = t.strip(toxicity.EDGE).lower()
+        best = [word(w) for w in toxicity.WORD.findall(t.lower())]
+        if not (core.isalpha() and not toxicity.ODD.search(core)) and toxicity.ODD.search(t):
+            short = toxicity.squeeze(t)
+            for part in {short, short.strip(toxicity.EDGE), *(p for p in toxicity.PART.split(short) if toxicity.ODD.search(p))}:
+                if any(c.isalpha() for c in part):
+                    said = toxicity.restore(part, model.chars)
+                    best += [word(said), *(w for f, w in model.weights.items() if f[-1] == " " and len(f) > 5 and f[:-1] in said)]
+                    best += [w for f, w in model.weights.items() if f[-1] == " " and len(f) - 1 == len(part) > 3 and "*" in part and part[0] == f[0] and sum(map(str.isalpha, part)) > 1 and all(x in ("*", y) for x, y in zip(part, f))]
+        elif core.isalpha():
+            best = [word(core)]
+        out.append(max(best, default=0.0))
+    runs = set()
+    tokens = text.split()
+    for i in range(len(tokens)):
+        j = i
+        while j < len(tokens) and len(tokens[j]) == 1:
+            j += 1
+        if j - i >= 4 and (i == 0 or len(tokens[i - 1]) > 1):
+            runs.add("".join(tokens[i:j]))
+    for run in runs:
+        said = toxicity.restore(toxicity.squeeze(run), model.chars)
+        out.append(max([w for f, w in model.weights.items() if f.strip() in said and (f[-1] != " " or len(f) > 3)], default=0.0))
+    hit = [w for w in out if w]
+    return max(hit, default=0.0), sum(hit), len(hit) / max(1, len(tokens))
+
+
+def test_hits_against_their_definition():
+    words = ["snorkwad", "grumbot", "plain", "quiet", "table", "river"]
+    reader = reader_of({"snorkwad ": 4.0, "grumbot ": 2.5, "grum": 1.5}, words)
+    rng = random.Random(9)
+    odd = ["sn0rkw4d", "snnnnorkwaddd", "gr*mbot", "(grumbot)", "gRumbots", "x-sn0rkwad", "s n o r k w a d", "g r u m b o t", "it's", "a1", "v2.0", "****", "--"]
+    for _ in range(300):
+        text = " ".join(rng.choice(words[2:] + odd) for _ in range(rng.randint(0, 12)))
+        got, want = reader.hits(text), plain_hits(reader.model, text)
+        assert got == pytest.approx(want), text
+
+
+def test_labels_without_documents_dont_thin_the_sample(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["plain", "quiet", "table", "river", "stone"]) for _ in range(20)) + (f" snorkwad grumbot {i}" if i % 4 == 0 else f" {i}") for i in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), *((i, None) for i in range(900, 1000))], "doc_id long, text string")
+    real = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    far = spark.range(1_000, 400_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic").unionByName(spark.range(900, 1000).selectExpr("id AS doc_id", "1 AS toxic"))
+    a, b = (sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score_toxicity(docs, x).collect()) for x in (real, real.unionByName(far)))
+    assert a == b and len({s for _, s in a}) > 1
