@@ -17,10 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import count_words, estimate_seconds, is_blank, js_trim, normalize_text, pause_after, strip_orphan_page_numbers
+from ..functions.text import BLANKS, count_words, estimate_seconds, is_blank, js_trim, normalize_text, pause_after, strip_orphan_page_numbers
 
 PY_WS = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Words whose full stop doesn't end a sentence.
 ABBREVIATIONS = tuple(
@@ -29,7 +28,8 @@ ABBREVIATIONS = tuple(
     oct nov dec mon tue wed thu fri sat sun""".split()
 )
 _ABBREVIATIONS = frozenset(ABBREVIATIONS)
-SENTENCE_END = re.compile(rf"""[.!?]+["')\]]*(?:[{PY_WS}]+|\Z)|\n{{2,}}""")
+# Sentences end in these, closing quotes and brackets included. A run of marks is tried from its first one only.
+SENTENCE_END = re.compile(rf"""(?<![.!?])[.!?]++["')\]]*+(?:[{PY_WS}]++|\Z)|\n{{2,}}""")
 LAST_WORD = re.compile(r"([^\W\d_.]|\.)+\.\Z")
 SPANS = "array<struct<start:int,end:int>>"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 SPACE = r"\t-\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+BLANKS = "(" + " || ".join(f"chr({c})" for c in (*range(9, 14), 32, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)) + ")"
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}''-]*"
 
 
