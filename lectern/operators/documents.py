@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import BLANKS, count_words, estimate_seconds, is_blank, js_trim, normalize_text, pause_after, strip_orphan_page_numbers
+from .scans import SPAN, last_known
 
 PY_WS = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
@@ -263,17 +264,17 @@ def narration_time(docs: DataFrame, preset: str | PassagePreset = "balanced") ->
     return sums.select("doc_id", F.col("_words").alias("words"), F.col("_characters").alias("characters"), "passages", seconds.alias("est_seconds"), "timeline_end")
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, start: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, start: str, values: list[str], width: float = SPAN) -> DataFrame:
     """``left`` with ``values`` of the last ``right`` row of its group whose ``start`` is at most ``at``; else nulls.
 
-    Both sides go through one window, sorted within the group, rather than through a join on a range.
+    Both sides go through one scan along the group, in blocks of ``width`` places, rather than through a join on a range.
     """
     keep = [c for c in left.columns if c not in values]
     packed = F.struct(*values)
     up = left.select(*by, F.col(at).cast("double").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType).alias("_value"), F.struct(*keep).alias("_row"))
     down = right.select(*by, F.col(start).cast("double").alias("_at"), F.lit(0).alias("_side"), packed.alias("_value"), F.lit(None).cast(left.select(F.struct(*keep).alias("x")).schema["x"].dataType).alias("_row"))
-    w = Window.partitionBy(*by).orderBy("_at", "_side", *(F.col(f"_value.{v}") for v in values[:1])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = up.unionByName(down).withColumn("_value", F.last("_value", ignorenulls=True).over(w)).where("_side = 1")
+    both = up.unionByName(down).withColumn("_first", F.col(f"_value.{values[0]}"))
+    both = last_known(both, by, ["_at", "_side", "_first"], "_value", width).where("_side = 1")
     return both.select("_row.*", *(F.col(f"_value.{v}").alias(v) for v in values))
 
 

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS, pivot_for
 from .documents import BLANKS, PY_WS, ends_with_abbreviation
+from .scans import neighbours, running_totals
 
 WIDTH, SLACK = 13, 3
 RAMP_WORDS, RAMP_FROM = 12, 0.7
 STALL_MS, FRAME_MS = 250, 16
 REPLAY_WORDS = 10
+PASSAGES_A_BLOCK = 64
 WORD, DIGIT, THREE_LETTERS = re.compile(rf"[^{PY_WS}]+"), re.compile("[0-9]"), re.compile(r"[^\W\d_]{3,}")
 PARAGRAPH = re.compile(rf"[{PY_WS}]*\n[{PY_WS}]*\n")
 CLOSERS = "\"')]"
@@ -122,10 +124,9 @@ def ramp_up(tokens: DataFrame, by: list[str], order: list[str], words: int = RAM
 
 def deadlines(tokens: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Tokens with show_at and done_at, in milliseconds from the group's beginning; each stays one at least."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     least = F.greatest(F.lit(1.0), "dwell_ms")
-    done = F.sum(least).over(w)
-    return tokens.withColumns({"show_at": done - least, "done_at": done})
+    summed = running_totals(tokens, by, order, {"done_at": least})
+    return summed.withColumn("show_at", F.col("done_at") - least)
 
 
 def pacing_report(tokens: DataFrame, wpm: float) -> DataFrame:
@@ -152,12 +153,12 @@ def token_round_trip(tokens: DataFrame, passages: DataFrame) -> DataFrame:
 
 def step_words(tokens: DataFrame) -> DataFrame:
     """(doc_id, passage_index, token_no, previous_start, next_start, replay_start): neighbours over passage seams; ten back within."""
-    doc = Window.partitionBy("doc_id").orderBy("passage_index", "token_no")
     passage = Window.partitionBy("doc_id", "passage_index").orderBy("token_no")
-    return tokens.select(
-        "doc_id", "passage_index", "token_no", F.coalesce(F.lag("start").over(doc), "start").alias("previous_start"), F.coalesce(F.lead("start").over(doc), "start").alias("next_start"),
-        F.coalesce(F.lag("start", REPLAY_WORDS).over(passage), F.first("start").over(passage)).alias("replay_start"),
-    )
+    replay = F.coalesce(F.lag("start", REPLAY_WORDS).over(passage), F.first("start").over(passage))
+    rows = tokens.select("doc_id", "passage_index", "token_no", "start", replay.alias("replay_start"))
+    # a passage has some hundred tokens at most, so a block takes fewer of them
+    rows = neighbours(rows, ["doc_id"], ["passage_index", "token_no"], {"_earlier": "start"}, {"_later": "start"}, PASSAGES_A_BLOCK)
+    return rows.select("doc_id", "passage_index", "token_no", F.coalesce("_earlier", "start").alias("previous_start"), F.coalesce("_later", "start").alias("next_start"), "replay_start")
 
 
 def step_sentences(passages: DataFrame, positions: DataFrame) -> DataFrame:

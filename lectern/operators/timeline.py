@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BASE_WPM, fnv1a
+from ..functions.text import BASE_WPM, fnv1a, js_trim
 from .documents import as_of
+from .scans import neighbours, running_totals
 
 PASSAGE = ["doc_id"]
 
 
-def running(order: str = "passage_index", by: list[str] | None = None):
-    return Window.partitionBy(*(by or PASSAGE)).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+INDEX = ["passage_index"]
+HOUR = 3600.0  # seconds of a block when places are times
 
 
 def prefix(passages: DataFrame, seconds: str = "est_seconds") -> DataFrame:
     """Passages with ``before``, the seconds ahead of each at rate 1."""
-    return passages.withColumn("before", F.sum(seconds).over(running()) - F.col(seconds))
+    summed = running_totals(passages, PASSAGE, INDEX, {"before": F.col(seconds)})
+    return summed.withColumn("before", F.col("before") - F.col(seconds))
 
 
 def passage_at_char(passages: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def passage_at_time(passages: DataFrame, times: DataFrame, rate: float = 1.0, se
     """times (doc_id, seconds) with the last passage whose start on the clock is at or before it."""
     rows = prefix(passages, seconds).select("doc_id", "passage_index", "before")
     asked = times.withColumn("_target", F.col("seconds") * rate)
-    found = as_of(asked, rows, PASSAGE, "_target", "before", ["passage_index"])
+    found = as_of(asked, rows, PASSAGE, "_target", "before", ["passage_index"], HOUR)
     return found.select(*times.columns, F.coalesce("passage_index", F.lit(0)).alias("passage_index"))
 
 
@@ -66,8 +68,12 @@ def place_key(name: Column, size: Column, characters: Column) -> Column:
 
 
 def recall_places(documents: DataFrame, places: DataFrame) -> DataFrame:
-    """documents (reader_id, place_key, passages) with the saved passage where it lies within, else 0."""
-    saved = places.select("reader_id", "place_key", F.col("passage_index").alias("_saved"))
+    """documents (reader_id, place_key, passages) with the saved passage where it lies within, else 0.
+
+    Of places saved more than once the latest (by ``at``, where there is such a column) counts, of those the last passage.
+    """
+    order = F.struct("at", "passage_index") if "at" in places.columns else F.col("passage_index")
+    saved = places.groupBy("reader_id", "place_key").agg(F.max_by("passage_index", order).alias("_saved"))
     ok = (F.col("_saved") > 0) & (F.col("_saved") < F.col("passages"))
     return documents.join(saved, ["reader_id", "place_key"], "left").withColumn("passage_index", F.when(ok, F.col("_saved")).otherwise(0)).drop("_saved")
 
@@ -117,17 +123,18 @@ def distinct_synthesis_requests(passages: DataFrame, provider: str, voice: str,
 
 
 def estimated_cues(passages: DataFrame) -> DataFrame:
-    end = F.sum("est_seconds").over(running())
-    return passages.withColumns({"cue_start": end - F.col("est_seconds"), "cue_end": end})
+    summed = running_totals(passages, PASSAGE, INDEX, {"cue_end": F.col("est_seconds")})
+    return summed.withColumn("cue_start", F.col("cue_end") - F.col("est_seconds"))
 
 
 def rendered_cues(passages: DataFrame, gap: float = 0.32, section_gap: float = 0.9) -> DataFrame:
     """Cues on the rendered timeline: ``seconds`` of each passage, then a gap, longer where the section changes, none at the end."""
-    after = F.lead("section_id").over(Window.partitionBy("doc_id").orderBy("passage_index"))
-    pause = F.when(after.isNull(), 0.0).when(after != F.col("section_id"), section_gap).otherwise(gap)
-    spaced = passages.withColumn("gap", pause)
-    start = F.sum(F.col("seconds") + F.col("gap")).over(running()) - F.col("seconds") - F.col("gap")
-    return spaced.withColumn("cue_start", start).withColumn("cue_end", F.col("cue_start") + F.col("seconds"))
+    beside = neighbours(passages, PASSAGE, INDEX, after={"_after": "section_id"})
+    pause = F.when(F.col("_after").isNull(), 0.0).when(F.col("_after") != F.col("section_id"), section_gap).otherwise(gap)
+    spaced = beside.withColumn("gap", pause).drop("_after")
+    spaced = running_totals(spaced, PASSAGE, INDEX, {"cue_start": F.col("seconds") + F.col("gap")})
+    spaced = spaced.withColumn("cue_start", F.col("cue_start") - F.col("seconds") - F.col("gap"))
+    return spaced.withColumn("cue_end", F.col("cue_start") + F.col("seconds"))
 
 
 LIVE_GAPS = {"gap": 0.18, "section_gap": 0.63}
@@ -135,10 +142,10 @@ LIVE_GAPS = {"gap": 0.18, "section_gap": 0.63}
 
 def position_clock(passages: DataFrame, positions: DataFrame, rate: float = 1.0) -> DataFrame:
     """positions (doc_id, passage_index, char) with the seconds on the clock and the document's total."""
-    total = F.sum("est_seconds").over(Window.partitionBy("doc_id"))
-    p = prefix(passages).withColumn("total", total).select("doc_id", "passage_index", "before", "est_seconds", "total", F.length("text").alias("_n"))
+    totals = passages.groupBy("doc_id").agg(F.sum("est_seconds").alias("total"))
+    p = prefix(passages).select("doc_id", "passage_index", "before", "est_seconds", F.length("text").alias("_n"))
     within = F.when((F.col("char") <= 0) | (F.col("_n") == 0), 0.0).otherwise(F.col("est_seconds") / rate * F.least(F.lit(1.0), F.col("char") / F.col("_n")))
-    found = positions.join(p, ["doc_id", "passage_index"])
+    found = positions.join(p, ["doc_id", "passage_index"]).join(totals, "doc_id")
     return found.select(*positions.columns, (F.col("before") / rate + within).alias("position"), (F.col("total") / rate).alias("total"))
 
 
@@ -150,17 +157,59 @@ def section_progress(outline: DataFrame, positions: DataFrame) -> DataFrame:
     return outline.join(at, "doc_id").select("doc_id", "section_id", done.alias("progress"))
 
 
-def search_passages(passages: DataFrame, queries: list[str], most: int = 60) -> DataFrame:
-    """(query, doc_id, passage_index, snippet): for each query of three letters or more, a document's first ``most`` hits."""
+def _snippets(hits: DataFrame, most: int) -> DataFrame:
+    """(query, doc_id, passage_index, snippet) of hits (query, doc_id, passage_index, text, at), the first ``most`` of a document."""
+    start = F.greatest(F.lit(0), F.col("at") - 1 - 42)
+    snippet = F.substr("text", start + 1, F.col("at") - 1 + 90 - start)
+    w = Window.partitionBy("query", "doc_id").orderBy("passage_index")
+    rows = hits.select("query", "doc_id", "passage_index", snippet.alias("snippet"))
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def search_passages(passages: DataFrame, queries: list[str] | DataFrame, most: int = 60) -> DataFrame:
+    """(query, doc_id, passage_index, snippet): for each query of three letters or more, a document's first ``most`` hits.
+
+    A few queries may be a list: then each is an expression over one scan. Any number may be a table with a column ``query``.
+    """
+    if isinstance(queries, DataFrame):
+        return _search_by_grams(passages, queries, most)
     wanted = [q.strip().lower() for q in queries if len(q.strip()) >= 3]
     lower = F.lower("text")
     hits = F.filter(F.array(*(F.struct(F.lit(q).alias("query"), F.instr(lower, q).alias("at")) for q in wanted)) if wanted else F.array().cast("array<struct<query:string,at:int>>"), lambda h: h["at"] > 0)
     found = passages.select("doc_id", "passage_index", "text", F.explode(hits).alias("h"))
-    start = F.greatest(F.lit(0), F.col("h.at") - 1 - 42)
-    snippet = F.substr("text", start + 1, F.col("h.at") - 1 + 90 - start)
-    w = Window.partitionBy("query", "doc_id").orderBy("passage_index")
-    rows = found.select(F.col("h.query").alias("query"), "doc_id", "passage_index", snippet.alias("snippet"))
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    return _snippets(found.select("h.query", "doc_id", "passage_index", "text", "h.at"), most)
+
+
+GRAM, SLOTS = 3, 1 << 16
+
+
+def grams(c: Column) -> Column:
+    """The distinct runs of GRAM characters in a text."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def _search_by_grams(passages: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """The search of a table of queries: passages listed by gram, each query met at the rarest of its grams, then verified.
+
+    Grams that no query has go at once, by a table of hash slots that is sent to all tasks and never has more than SLOTS
+    rows. A query with a gram that no passage has has no hits. What is joined are numbers of passages; the texts of
+    those that may hold a query move once.
+    """
+    wanted = queries.select(F.lower(js_trim(F.col("query"))).alias("query")).where(F.length("query") >= GRAM).distinct()
+    parts = wanted.select("query", F.explode(grams(F.col("query"))).alias("gram"))
+    slot = F.pmod(F.xxhash64("gram"), F.lit(SLOTS)).cast("int")
+    slots = F.broadcast(parts.select(slot.alias("slot")).distinct())
+    listed = passages.select("doc_id", "passage_index", F.explode(grams(F.lower("text"))).alias("gram")).withColumn("slot", slot)
+    listed = listed.join(slots, "slot", "left_semi").drop("slot")
+    counted = listed.groupBy("gram").agg(F.count("*").alias("passages"))
+    met = parts.join(counted, "gram", "left").groupBy("query").agg(
+        F.min(F.struct("passages", "gram")).alias("rarest"), F.count_if(F.col("passages").isNull()).alias("unknown")
+    )
+    met = met.where("unknown = 0").select("query", F.col("rarest.gram").alias("gram"))
+    near = listed.join(met, "gram").select("doc_id", "passage_index", "query")
+    held = passages.select("doc_id", "passage_index", "text").join(near, ["doc_id", "passage_index"])
+    hits = held.withColumn("at", F.instr(F.lower("text"), F.col("query"))).where("at > 0")
+    return _snippets(hits, most)
 
 
 def filter_outline(outline: DataFrame, query: str) -> DataFrame:
@@ -176,8 +225,6 @@ def recent_places(places: DataFrame, most: int = 20) -> DataFrame:
 
 def scan_warnings(pages: DataFrame) -> DataFrame:
     """(doc_id, pages, thin, warning): documents of which over 40 % of pages hold fewer than 8 characters."""
-    from ..functions.text import js_trim
-
     thin = F.count_if(F.length(js_trim(F.coalesce("text", F.lit("")))) < 8)
     counted = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), thin.alias("thin"))
     return counted.withColumn("warning", F.col("thin") > F.col("pages") * 0.4)

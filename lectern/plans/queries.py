@@ -951,6 +951,17 @@ def k1_search_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.search_passages(passages(spark, sf_dir), ["the", "ING", " ment ", "ab"])
 
 
+@query(
+    f"""WITH {Q.PASSAGES}, asked AS (SELECT DISTINCT lower({Q.trim("substring(text, 3, 7)")}) AS query FROM benchmark),
+hits AS (SELECT query, doc_id, passage_index, body, instr(lower(body), query) - 1 AS pos FROM passages JOIN asked ON length(query) >= 3 AND contains(lower(body), query))
+SELECT query, doc_id, passage_index, substring(body, greatest(0, pos - 42) + 1, pos + 90 - greatest(0, pos - 42)) AS snippet FROM hits QUALIFY row_number() OVER (PARTITION BY query, doc_id ORDER BY passage_index) <= 60"""
+)
+def k1_search_query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each benchmark item begins with, looked up in all passages."""
+    asked = I.table(spark, sf_dir, "benchmark").select(F.substring("text", 3, 7).alias("query"))
+    return L.search_passages(passages(spark, sf_dir), asked)
+
+
 @query(f"""WITH {Q.PASSAGES} SELECT DISTINCT doc_id, section_id, section_title AS title FROM passages WHERE contains(lower(section_title), 'ion 2')""")
 def k2_filter_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.filter_outline(L.section_outline(passages(spark, sf_dir)), " ION 2").select("doc_id", "section_id", "title")
