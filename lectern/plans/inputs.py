@@ -65,6 +65,23 @@ def streamed(df: DataFrame, name: str, halves: str, run, sink=None, mode: str =
     return None if sink else spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
+def as_files(rows: DataFrame, path: str) -> None:
+    """Rows (name, content) as files below ``path``, for jobs that read files."""
+
+    def put(batches):
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{folder}/{name}", compression=None) as out:
+                    out.write(content or b"")
+            yield batch.slice(0, 0)
+
+    rows.select("name", F.col("content").cast("binary")).mapInArrow(put, "name string, content binary").count()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: what a stream is joined with is made once, not once a batch."""
     path = scratch(df.sparkSession, name)

@@ -20,9 +20,11 @@ from ..operators import documents as D
 from ..operators import ingest
 from ..operators import reading as R
 from ..operators import timeline as L
+from ..sources import containers as B
 from ..sources import files as S
 from ..sources import markup as M
 from ..sources import sinks as K
+from ..streaming import arrivals as W
 from ..streaming import live as V
 from . import inputs as I
 from . import sql as Q
@@ -72,8 +74,7 @@ def narration_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Files through to timed passages: every document as a text file.
-@query(
-    f"""
+INGESTED = f"""
 WITH RECURSIVE {RAW.replace("given", "files")}, {Q.plain_parts("files")},
 clean AS (SELECT doc_id, part_no, coalesce(title, doc_id || '.txt') AS title, {Q.trim(r"regexp_replace(" + Q.normalize("body") + r", '(?m)^[ \t]*[-\[(]?[ \t]*[0-9]{1,4}[ \t]*[-\])]?[ \t]*$', '', 'g')")} AS body FROM plain_parts),
 seams AS (SELECT *, lag(body) OVER (PARTITION BY doc_id ORDER BY part_no) AS earlier FROM clean WHERE body <> ''),
@@ -86,7 +87,9 @@ given AS (SELECT doc_id, string_agg(CASE WHEN earlier IS NULL OR fused THEN '' W
 named AS (SELECT p.*, 'sec-' || s.part_no AS section_id, s.title AS section_title FROM packed p ASOF LEFT JOIN sections s ON s.doc_id = p.doc_id AND p.start >= s.starts)
 SELECT doc_id, passage_index, section_id, section_title, start, stop AS "end", words, round(sum(est_seconds) OVER (PARTITION BY doc_id ORDER BY passage_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cue_end FROM named
 """
-)
+
+
+@query(INGESTED)
 def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = I.documents(spark, sf_dir)
     name = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt"))
@@ -95,6 +98,19 @@ def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "passage_index", "section_id", "section_title", "start", "end", F.col("words").cast("long").alias("words"), F.round("cue_end", 6).alias("cue_end"))
 
 
+@query(INGESTED)
+def ingest_arriving_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from files that arrive in two lots, as a stream that runs twice."""
+    docs, at = I.documents(spark, sf_dir), I.scratch(spark, "arrivals")
+    sink = W.ingest_sink(spark, f"{at}/tables", F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long"))
+    for lot in ("doc_id % 2 = 0", "doc_id % 2 = 1"):
+        I.as_files(docs.where(lot).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content")), f"{at}/in")
+        stream = W.file_stream(spark, f"{at}/in").writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/progress")
+        stream.trigger(availableNow=True).start().awaitTermination()
+    made = W.ingested(spark, f"{at}/tables").passages
+    return made.select("doc_id", "passage_index", "section_id", "section_title", "start", "end", F.col("words").cast("long").alias("words"), F.round("cue_end", 6).alias("cue_end"))
+
+
 # 2.1 sources and sinks
 @query(
     r"""
@@ -121,8 +137,9 @@ def s2_decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "pages").select("page_id", S.decode_text(content).alias("text"))
 
 
-@query()
-def s3_epub_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a page each as an e-book; one in five is damaged."""
+
     @pandas_udf("binary")
     def book(title: pd.Series, html: pd.Series) -> pd.Series:
         def one(t: str, h: str) -> bytes:
@@ -137,8 +154,21 @@ def s3_epub_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return pd.Series([one(t, h) for t, h in zip(title, html, strict=True)])
 
-    files = I.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), book(F.col("page_id").cast("string"), F.coalesce("html", F.lit(""))).alias("content"))
-    return S.epub_parts(files)
+    return I.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), book(F.col("page_id").cast("string"), F.coalesce("html", F.lit(""))).alias("content"))
+
+
+@query()
+def s3_epub_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.epub_parts(books(spark, sf_dir))
+
+
+@query()
+def s3_read_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same books as files, read member by member: their parts, and a row about each."""
+    path = I.scratch(spark, "books")
+    I.as_files(books(spark, sf_dir).select(F.concat("path", F.lit(".epub")).alias("name"), "content"), path)
+    return B.read_books(spark, path).withColumn("path", F.regexp_extract("path", r"([0-9]+)\.epub$", 1))
+
 
 
 @query(
@@ -230,6 +260,22 @@ def s7_write_web_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.subtitle_documents(c, "vtt")
 
 
+@query(
+    f"""
+WITH {Q.CUES},
+b AS (SELECT track_id, cue_no, CAST(cue_no + 1 AS VARCHAR) || chr(10) || {Q.timecode("start", ",")} || ' --> ' || {Q.timecode("stop", ",")} || chr(10) || {Q.wrap("body")} || chr(10) AS block FROM cues)
+SELECT 'Document - ' || track_id || '.srt' AS name, string_agg(block, chr(10) ORDER BY cue_no) AS content FROM b GROUP BY track_id
+"""
+)
+def s7_write_subtitle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written into containers under their titles, and read back."""
+    c = I.cues(I.documents(spark, sf_dir)).withColumnsRenamed({"track_id": "doc_id", "cue_no": "cue_index"})
+    titles = I.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Document : "), F.col("doc_id").cast("string"), F.lit(".old")).alias("title"))
+    path = I.scratch(spark, "subtitles")
+    K.write_subtitles(c, titles, "srt", path)
+    return B.read_documents(spark, path).select(F.regexp_replace("name", " +", " ").alias("name"), "content")
+
+
 def transcribed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, passages, sections) for transcripts; every third document has an author."""
     p = L.estimated_cues(passages(spark, sf_dir)).withColumn("cue_start", F.col("cue_start") + 1e-9)
@@ -1087,6 +1133,11 @@ def _samples(clips: DataFrame) -> DataFrame:
     return clips.select("clip_id", F.posexplode("samples").alias("i", "x")).select("clip_id", "i", (F.round(F.col("x").cast("double"), 5) + 0.0).alias("x"))
 
 
+def _block_samples(blocks: DataFrame) -> DataFrame:
+    rows = blocks.select("clip_id", "start", F.posexplode("samples").alias("k", "x"))
+    return rows.select("clip_id", (F.col("start") + F.col("k")).cast("int").alias("i"), (F.round(F.col("x").cast("double"), 5) + 0.0).alias("x"))
+
+
 SAMPLES = "s AS (SELECT vec_id AS clip_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS i, CAST(unnest(embedding) AS DOUBLE) AS x, len(embedding) AS n FROM embeddings)"
 
 
@@ -1099,6 +1150,15 @@ def f13_trim_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(A.trim_silence(clips(spark, sf_dir), threshold_db=-20.0, keep_ms=1.0))
 
 
+@query(
+    f"""WITH {SAMPLES}, l AS (SELECT clip_id, min(i) FILTER (WHERE loud) AS a, max(i) FILTER (WHERE loud) AS z FROM (SELECT *, abs(CAST(x AS FLOAT)) >= 0.1::FLOAT AS loud FROM s) GROUP BY 1),
+k AS (SELECT s.clip_id, s.i, s.x FROM s JOIN l USING (clip_id) WHERE a IS NULL OR a >= z OR i >= a - 1 AND i < z + 1)
+SELECT clip_id, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY i) - 1 AS INTEGER) AS i, round(x, 5) + 0.0 AS x FROM k"""
+)
+def f13_trim_silence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _block_samples(A.trim_silence_blocks(A.split_clips(clips(spark, sf_dir), 10), threshold_db=-20.0, keep_ms=1.0))
+
+
 @query(
     f"""WITH {SAMPLES}, p AS (SELECT clip_id, least(pow(10, -1.5 / 20) / max(abs(x)), 4) AS gain FROM s GROUP BY 1)
 SELECT s.clip_id, i, round(CAST(CAST(x * CASE WHEN abs(gain - 1) < 0.01 THEN 1 ELSE gain END AS FLOAT) AS DOUBLE), 5) AS x FROM s JOIN p USING (clip_id)"""
@@ -1107,6 +1167,14 @@ def f14_normalize_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(A.normalize_peak(clips(spark, sf_dir)))
 
 
+@query(
+    f"""WITH {SAMPLES}, p AS (SELECT clip_id, least(pow(10, -1.5 / 20) / max(abs(x)), 4) AS gain FROM s GROUP BY 1)
+SELECT s.clip_id, i, round(CAST(CAST(x * CASE WHEN abs(gain - 1) < 0.01 THEN 1 ELSE gain END AS FLOAT) AS DOUBLE), 5) AS x FROM s JOIN p USING (clip_id)"""
+)
+def f14_normalize_peak_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _block_samples(A.normalize_peak_blocks(A.split_clips(clips(spark, sf_dir), 10)))
+
+
 @query(
     f"""WITH {SAMPLES}, e AS (SELECT *, least(i, n - 1 - i) AS edge, least(5, n // 2) AS f FROM s)
 SELECT clip_id, i, round(CAST(CAST(x * CASE WHEN f > 1 AND edge < f THEN 0.5 - 0.5 * cos(pi() * edge / f) ELSE 1 END AS FLOAT) AS DOUBLE), 5) + 0.0 AS x FROM e"""
@@ -1115,6 +1183,14 @@ def f15_edge_fades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(A.edge_fades(clips(spark, sf_dir)))
 
 
+@query(
+    f"""WITH {SAMPLES}, e AS (SELECT *, least(i, n - 1 - i) AS edge, least(5, n // 2) AS f FROM s)
+SELECT clip_id, i, round(CAST(CAST(x * CASE WHEN f > 1 AND edge < f THEN 0.5 - 0.5 * cos(pi() * edge / f) ELSE 1 END AS FLOAT) AS DOUBLE), 5) + 0.0 AS x FROM e"""
+)
+def f15_edge_fades_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _block_samples(A.edge_fades_blocks(A.split_clips(clips(spark, sf_dir), 3)))
+
+
 @query(f"""WITH {SAMPLES} SELECT clip_id, i, CAST(CASE WHEN x * 3 < -1 THEN -32768 WHEN x * 3 > 1 THEN 32767 ELSE floor(x * 3 * 32767 + 0.5) END AS DOUBLE) AS x FROM s""")
 def f16_to_pcm16(spark: SparkSession, sf_dir: str) -> DataFrame:
     loud = clips(spark, sf_dir).withColumn("samples", F.transform("samples", lambda x: x.cast("double") * 3))

@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import format_clock, timecode, wrap_for_subtitle
 from ..operators.documents import BLANKS, PY_WS
+from .containers import write_documents
 
 
 SENTENCE = re.compile(r"[^.!?]+[.!?]*\s*")
@@ -70,9 +71,10 @@ def subtitle_documents(cues: DataFrame, fmt: str) -> DataFrame:
     return cues.groupBy("doc_id").agg((body if fmt == "srt" else F.concat(F.lit("WEBVTT\n\n"), body)).alias("content"))
 
 
-def write_subtitles(cues: DataFrame, fmt: str, path: str) -> None:
-    """One subtitle text a document, in folders by doc_id."""
-    subtitle_documents(cues, fmt).withColumnRenamed("content", "value").write.partitionBy("doc_id").text(path)
+def write_subtitles(cues: DataFrame, titles: DataFrame, fmt: str, path: str, mode: str = "append") -> None:
+    """The subtitle text of every document, under its title (doc_id, title), in containers below ``path``."""
+    made = subtitle_documents(cues, fmt).join(titles.select("doc_id", "title"), "doc_id", "left")
+    write_documents(made, path, fmt, mode)
 
 
 def _grouped_number(n: Column) -> Column:
