@@ -126,8 +126,10 @@ def bpe_encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every row, as the tokenizer gives without added special tokens.
 
     Null and empty texts have no ids. Rows that share a doc_id, or have none, are told apart by a hash of their text beside
-    it, so each comes out with its own ids; rows that repeat whole come out as often. Very long texts are encoded chunk by chunk. A chunk in a third of all
-    documents is one key of a join that Spark may split; its ids are counted and owned through partial aggregates.
+    it, so each comes out with its own ids; rows that repeat whole come out as often. Other columns are not looked at; an
+    empty table gives no rows. Very long texts are encoded chunk by chunk. Chunks are counted, and find their owner, through
+    partial aggregates; but the rows of a chunk that a large share of documents hold meet its ids in one task, as those come
+    from an aggregate, which Spark doesn't split.
     """
     path = tokenizer or default_path("byte_bpe_50k.json")
     row = ["doc", "row"]  # a row key: the hash need only tell the texts of one doc_id apart

@@ -69,7 +69,8 @@ def from_png(data: bytes) -> bytes:
 def store_payloads(docs: DataFrame, folder: str | None = None, shard_bytes: int = 256_000_000) -> DataFrame:
     """Writes every text's payload to tar shards and returns the index: doc_id, n_bytes, digest, shard, offset, length.
 
-    A null text is an empty one. Rows that repeat keep a row each. The index is written to the shared folder before it is
+    A null text is an empty one. Rows that repeat keep a row each, a null doc_id stays null, other columns are not looked at,
+    and an empty table gives no rows. The index is written to the shared folder before it is
     returned, so it and the shards belong to the same task attempts.
     """
     folder = folder or new_path(docs.sparkSession, "media")

@@ -170,7 +170,9 @@ def train(stats: DataFrame, labels: DataFrame, label: str, shrink: float = 0.1,
 def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row. Held-out folds teach nothing.
 
-    Null texts count as empty; empty texts are scored as any other. Without labels of both classes every score is 0.5.
+    Null texts count as empty; empty texts are scored as any other. Without labels of both classes every score is 0.5. Rows
+    that repeat are scored alike, and a labelled row that repeats teaches as often; labels that repeat and disagree count as 1.
+    A row without doc_id belongs to fold 0 and has no label. Other columns are not looked at; an empty table gives no rows.
     """
     stats = materialise(document_statistics(docs), "statistics")
     model = train(stats.where(fold(F.col("doc_id"), modulus) != held), labels, "quality")
