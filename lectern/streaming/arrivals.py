@@ -11,6 +11,7 @@ from ..operators.documents import PassagePreset
 from ..operators.ingest import Ingested, ingest_files
 
 TABLES = ("documents", "sections", "passages", "rejected")
+TASK_BYTES = 64_000_000
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -34,7 +35,10 @@ def ingest_sink(spark: SparkSession, path: str, doc_id: Column | None = None, pr
             df.write.mode("overwrite").parquet(at)
             return df.sparkSession.read.schema(df.schema).parquet(at)
 
-        files = batch.select(named.alias("doc_id"), "path", "length", "content").persist()  # each way of ingestion reads them
+        # small files come a few to a partition; they are put together by what they hold, and large ones stay apart
+        total = batch.agg(F.sum("length")).head()[0] or 0
+        tasks = max(batch.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+        files = batch.select(named.alias("doc_id"), "path", "length", "content").coalesce(tasks).persist()  # each way of ingestion reads them
         try:
             made = ingest_files(files, preset, keep)
             for name in TABLES:
