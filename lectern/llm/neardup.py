@@ -30,7 +30,7 @@ SAMPLES = BANDS * ROWS
 BINS, BITS = 8192, 4096  # of the sketches
 WORDS = BITS // 64
 BLOCK, FAMILY = 512, 64  # classes that meet in a task, pairs of a leader that one task confirms
-ASKING, HELD = 256, 4_000_000  # classes that ask and shingles that are held, for one confirming group
+ASKING, HELD = 256, 2_000_000  # classes that ask and shingles that are held, for one confirming group
 FIRST = 16
 LONG = 256  # bytes from which a word is hashed by itself
 _rng = np.random.default_rng(11)
@@ -463,14 +463,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
         about = materialise(sizes.join(largest, "band"), "about")
         placed = split.hint("merge").join(about, "band").select("band", "node", "blocks", block, (F.col("root") != F.col("main")).alias("asks"))
         placed = materialise(placed.hint("merge").join(held, "node"), "placed")
-        meeting = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        # blocks of which neither has a class that asks needn't meet; the list is as long as a bucket has blocks
+        askers = materialise(placed.where("asks").groupBy("band").agg(F.collect_set("block").alias("askers")), "askers")
+        others = F.when(F.array_contains("askers", F.col("block")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.col("askers"))
         for low, high in ((0, FIRST), (FIRST, None)):
-            dealt = placed.hint("merge").join(split, ["band", "node"]).select("*", meeting)
-            dealt = dealt.withColumns({"mine": F.least("block", "other"), "yours": F.greatest("block", "other")}).drop("blocks", "other")
+            dealt = placed.hint("merge").join(split, ["band", "node"]).hint("merge").join(askers, "band").select("*", F.explode(others).alias("other"))
+            dealt = dealt.withColumns({"mine": F.least("block", "other"), "yours": F.greatest("block", "other")}).drop("blocks", "other", "askers")
             roots = grown(roots, verify(_meet(dealt, low, high, percent)))
             if high is not None:
                 split = still_split(split, roots)
-        forget(placed, about, last)
+        forget(placed, about, last, askers)
     forget(buckets, held, sets)
     named = classes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
     # a root is the smallest of its nodes, and a node the smallest doc_id of its class
