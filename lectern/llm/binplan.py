@@ -11,7 +11,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 Plan = list[tuple[tuple[int, ...], int]]
-SMALL = 6  # items in fillings that are tested for dominance
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
@@ -51,58 +50,100 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(p, n) for groups in open_bins.values() for p, n in groups]
 
 
-def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether filling ``a`` splits into parts that fit one by one into the items of ``b``: then ``b`` is at least as good."""
+def dominated(a: tuple[int, ...], b: tuple[int, ...], steps: int = 200) -> bool:
+    """Whether filling ``a`` splits into parts that fit one by one into the items of ``b``: then ``b`` is at least as good.
+
+    Items that both hold may stay for themselves, so only the others are placed. False where ``steps`` don't settle it.
+    """
     if sum(a) > sum(b):
         return False
+    if sum(a) == sum(b) and len(a) <= len(b):
+        return a == b  # every item of b needs a part that fills it
+    mine, others = Counter(a), Counter(b)
+    rest, rooms = sorted((mine - others).elements(), reverse=True), sorted((others - mine).elements())
+    todo = steps
 
-    def place(i: int, rooms: list[int]) -> bool:
-        if i == len(a):
+    def place(i: int) -> bool:
+        nonlocal todo
+        todo -= 1
+        if i == len(rest):
             return True
         tried = set()
         for k, room in enumerate(rooms):
-            if room >= a[i] and room not in tried:
+            if room >= rest[i] and room not in tried and todo > 0:
                 tried.add(room)
-                rooms[k] -= a[i]
-                if place(i + 1, rooms):
+                rooms[k] -= rest[i]
+                if place(i + 1):
                     return True
-                rooms[k] += a[i]
+                rooms[k] += rest[i]
         return False
 
-    return place(0, list(b))
+    return place(0)
+
+
+class Sums:
+    """Bitmaps of the sums up to ``room`` that items can make: ``reach[i]`` of the i smallest lengths.
+
+    They hold for the counts given and, as an upper bound, for any smaller ones.
+    """
 
+    def __init__(self, lengths: list[int], counts: dict[int, int], room: int):
+        self.lengths = lengths.copy()
+        self.reach = [1]
+        mask = (2 << room) - 1
+        for x in lengths:
+            bits, n, k = self.reach[-1], min(counts[x], room // x), 1
+            while n > 0 and bits != mask:
+                bits |= bits << x * min(k, n) & mask
+                n, k = n - k, 2 * k
+            self.reach.append(bits)
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int, steps: int, width: int, waste: int) -> list[tuple[int, ...]]:
+
+def fillings(sums: Sums, counts: dict[int, int], room: int, most: int, steps: int, width: int, waste: int) -> list[tuple[int, ...]]:
     """Undominated maximal fillings of ``room`` that leave at most ``waste`` free, the least waste and largest items first.
 
-    Enumeration takes the largest items first, but an item that fills the room left exactly before all others: such a
-    filling dominates every other one with the same items before it. It is complete where it ends within ``steps``.
+    For each sum that the bitmaps allow, the largest first, lengths are gone through downwards, and of each as many copies
+    as leave a sum that smaller ones can make. So a filling costs a step for each length in it, however many items it has,
+    and where the bitmaps are exact no step is in vain. An item that fills what is left exactly ends its branch, as it
+    dominates all else that could stand there. The list is complete where it ends within ``steps`` and ``width``.
     """
-    found: list[tuple[int, ...]] = []
-    todo = steps
+    lengths, reach, kept, todo = sums.lengths, sums.reach, [], steps
 
-    def grow(taken: tuple[int, ...], free: int, upto: int) -> None:
+    def take(filling: tuple[int, ...], free: int) -> None:
+        upto = bisect_right(lengths, free)
+        if any(counts[x] > filling.count(x) for x in lengths[:upto]):
+            return  # not maximal
+        if not any(dominated(filling, k) for k in kept):
+            kept.append(filling)
+
+    def grow(taken: tuple[int, ...], left: int, upto: int, free: int) -> None:
         nonlocal todo
-        todo -= 1
-        if 0 < free <= upto and counts.get(free, 0) > taken.count(free):
-            found.append((*taken, free))
+        if not left:
+            take(taken, free)
             return
-        went = False
-        for i in range(bisect_right(lengths, min(free, upto)) - 1, -1, -1):
+        i = bisect_right(lengths, left, 0, upto)
+        if i and lengths[i - 1] == left and counts[left]:
+            take((*taken, left), free)
+            return
+        while i and reach[i] >> left & 1:
+            i -= 1
             x = lengths[i]
-            if counts[x] > taken.count(x):
-                went = True
-                if todo <= 0:
-                    break
-                grow((*taken, x), free - x, x)
-        if not went and free <= waste:
-            found.append(taken)
-
-    grow((), room, most)
-    kept: list[tuple[int, ...]] = []
-    for f in sorted(set(found), key=lambda f: (-sum(f), [-x for x in f])):
-        if len(kept) < width and not (len(f) <= SMALL and any(dominated(f, k) for k in kept)):
-            kept.append(f)
+            for n in range(min(counts[x], left // x), 0, -1):
+                if reach[i] >> left - n * x & 1:
+                    if todo <= 0 or len(kept) >= width:
+                        return
+                    todo -= 1
+                    grow(taken + (x,) * n, left - n * x, i, free)
+
+    top = bisect_right(lengths, min(room, most))
+    bits = reach[top] & (2 << room) - 1
+    while bits and todo > 0 and len(kept) < width:
+        total = bits.bit_length() - 1
+        if room - total > waste:
+            break
+        grow((), total, top, room - total)
+        bits ^= 1 << total
+        todo -= 1
     return kept
 
 
@@ -111,12 +152,14 @@ def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000, steps:
 
     Best-fit decreasing gives the incumbent. The search fills bins around the largest item left: it lists undominated
     fillings of the room beside it, tries them in order of waste, and cuts a branch once the waste so far leaves no room for
-    a better total (or, until it has a plan of its own, an equal one). It ends with a plan of its own at the volume bound,
-    else after ``nodes`` nodes with the best plan known. A filling is used for as many bins as its items allow at once.
+    a better total (or, until it has a plan of its own, an equal one). A filling is used for as many bins as its items allow
+    at once, so the first plan takes a few nodes a length; from there the search goes back from the leaves. It ends with a
+    plan of its own at the volume bound, else after ``nodes`` nodes with the best plan known.
 
     Every item is packed whatever the limits are. They bound how much of the tree is seen: ``steps`` of enumeration and
-    ``width`` fillings at a node, dominance between fillings of up to SMALL items, ``nodes`` nodes. So the plan is proven
-    optimal where it meets the bound or the tree ends before them, and else at most as large as best-fit decreasing's.
+    ``width`` fillings at a node, ``nodes`` nodes, 200 steps of a test for dominance. So the plan is proven optimal where it
+    meets the bound, and else at most as large as best-fit decreasing's. Bitmaps are made anew whenever a sixty-fourth of
+    the lengths may have run out.
     """
     counts = {int(k): int(n) for k, n in counts.items() if n > 0}
     if any(k < 1 or k > capacity for k in counts):
@@ -141,19 +184,20 @@ def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000, steps:
                 lengths.insert(bisect_left(lengths, x), x)
         bins, waste = bins + times, waste + (capacity - sum(pattern)) * times
 
-    def choices() -> Iterator[tuple[int, ...]]:
-        """The patterns of the next bin: the largest item left, and an undominated filling beside it."""
+    def choices(sums: Sums | None, age: int) -> tuple[Iterator[tuple[int, ...]], Sums, int]:
+        """The patterns of the next bin, the largest item left with an undominated filling beside it, and the bitmaps used."""
+        if sums is None or age >= max(1, len(lengths) // 64):
+            sums, age = Sums(lengths, left, capacity), 0
         large = lengths[-1]
         left[large] -= 1
-        allowed = (size - own) * capacity - total - waste
-        found = fillings(lengths, left, capacity - large, large, steps, width, allowed)
+        found = fillings(sums, left, capacity - large, large, steps, width, (size - own) * capacity - total - waste)
         left[large] += 1
-        return iter([(large, *f) for f in found])
+        return iter([(large, *f) for f in found]), sums, age + 1
 
-    frames = [choices()] if lengths else []
+    frames = [choices(None, 0)] if lengths else []
     while frames and (size > bound or not own):
         allowed = (size - own) * capacity - total - waste  # what may still be left free, if this is to be kept
-        pattern = next(frames[-1], None) if allowed >= 0 else None
+        pattern = next(frames[-1][0], None) if allowed >= 0 and nodes >= 0 else None
         if pattern is None:
             frames.pop()
             if plan:
@@ -168,13 +212,11 @@ def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000, steps:
             continue
         put(pattern, times)
         plan.append((pattern, times))
-        if lengths and nodes:
-            nodes -= 1
-            frames.append(choices())
+        nodes -= 1
+        if lengths:
+            frames.append(choices(*frames[-1][1:]))
             continue
-        if not lengths and (bins < size or not own and bins == size):
+        if bins < size or not own and bins == size:
             best, size, own = plan.copy(), bins, True
         put(*plan.pop()[:1], -times)
-        if not nodes:
-            break
     return best

@@ -8,7 +8,7 @@ import math
 import random
 import zlib
 from collections import Counter
-from itertools import product
+from itertools import combinations, product
 from types import SimpleNamespace
 
 import numpy as np
@@ -61,6 +61,52 @@ def test_plans_are_whole_and_never_worse_than_best_fit():
     assert better
 
 
+def test_bin_completion_plans_for_short_documents(monkeypatch):
+    """Also without best fit's plan to fall back on: then whatever comes out is the search's own."""
+    alone = lambda counts, capacity: [((x,), n) for x, n in counts.items()]
+    for counts, bins in (({x: 20_000 for x in range(5, 15)}, 464), ({3: 10_007, 5: 9_001, 7: 8_003}, 32), ({x: 1000 + 37 * x for x in range(1, 41)}, 401)):
+        assert bins == -(-sum(k * n for k, n in counts.items()) // 4096)
+        for incumbent in (binplan.best_fit, alone):
+            with monkeypatch.context() as m:
+                m.setattr(binplan, "best_fit", incumbent)
+                plan = binplan.plan_bins(counts, 4096)
+            packed = Counter()
+            for p, n in plan:
+                assert sum(p) <= 4096
+                for x, k in Counter(p).items():
+                    packed[x] += k * n
+            assert packed == counts and sum(n for _, n in plan) == bins
+
+
+def test_fillings_are_the_undominated_ones():
+    def parts(items):  # every way to split items into parts
+        if not items:
+            yield []
+            return
+        for split in parts(items[1:]):
+            yield [[items[0]], *split]
+            for i in range(len(split)):
+                yield [*split[:i], [items[0], *split[i]], *split[i + 1 :]]
+
+    def fits(a, b):  # whether some split of a goes part by part into items of b
+        sums = (sorted((sum(x) for x in split), reverse=True) for split in parts(list(a)))
+        return any(len(x) <= len(b) and all(m <= n for m, n in zip(x, b)) for x in sums)
+
+    rng = random.Random(6)
+    for _ in range(60):
+        room = rng.randint(8, 24)
+        counts = Counter(rng.randint(2, 12) for _ in range(rng.randint(1, 7)))
+        items = sorted(counts.elements(), reverse=True)
+        every = {tuple(x) for n in range(len(items) + 1) for x in combinations(items, n) if sum(x) <= room}
+        # by definition: not dominated by any other filling
+        want = {a for a in every if not any(a != b and fits(a, b) for b in every)}
+        for a in every:
+            for b in every:
+                assert binplan.dominated(a, b) == fits(a, b), (a, b)
+        got = binplan.fillings(binplan.Sums(sorted(counts), counts, room), counts, room, max(items), 10**6, 10**6, room)
+        assert set(got) == want and len(got) == len(want), (counts, room)
+
+
 def test_packing_rows_without_id_and_repeated_rows(spark):
     rows = [(None, "same text", None), (None, "same text", None), (5, "same text", None), (5, "other", None), (5, "word " * 9000, None)]
     got = packing.pack_documents(documents(spark, rows), keep_ids=True).collect()
