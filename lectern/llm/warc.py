@@ -248,7 +248,8 @@ def arc_places(read, size: int) -> Iterator[tuple[int, int, int, int, bool, int,
         if blank:
             at += blank
             continue
-        end = line.find(b"\n")
+        while (end := line.find(b"\n")) < 0 and at + len(line) < size:
+            line = read(at, min(2 * len(line), size - at))
         if end < 0:
             raise ValueError("a header line without an end")
         n = end + 1 + int(parse_header(fields, line[:end])["Archive-length"])
@@ -284,11 +285,16 @@ def mark_revisits(index: DataFrame, least: int = 1000) -> DataFrame:
     """The index with ``first``, the place of the record that an equal payload of ``least`` bytes or more repeats.
 
     Of equal payloads the record with the largest page_id comes first (null is smallest, then the last place); it and small
-    ones have nulls.
+    ones have nulls. Only payloads that repeat are listed, and small records meet that list in no join.
     """
     place = ["shard", "offset", "inner"]
-    first = index.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max(F.struct("page_id", *place)).alias("first"))
-    joined = index.join(first, ["digest", "payload_bytes"], "left")
+    large, key = F.col("payload_bytes") >= least, ["digest", "payload_bytes"]
+    first = index.where(large).groupBy(*key).agg(F.max(F.struct("page_id", *place)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # both sides are written tables, so Spark can split the records of a payload that a large share of the pages hold
+    first = materialise(first, "repeated")
+    joined = index.where(large).hint("merge").join(first, key, "left")
+    small = index.where(~F.coalesce(large, F.lit(False))).withColumn("first", F.lit(None).cast(first.schema["first"].dataType))
+    joined = joined.unionByName(small)
     own = (F.col("first.shard") == F.col("shard")) & (F.col("first.offset") == F.col("offset")) & (F.col("first.inner") == F.col("inner"))
     first = F.when(F.col("first").isNotNull() & ~own, F.col("first"))
     kept = ["page_id", *(x.split()[0] for x in PLACE.split(", "))]

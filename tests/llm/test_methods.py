@@ -327,6 +327,22 @@ def test_damaged_archives_fail_by_name():
             read(bad)
 
 
+def test_header_lines_of_any_length():
+    read = lambda data: list(warc.arc_places(lambda o, n: data[o : o + n], len(data)))
+    records = [("http://a/" + "p" * n, "text/html", b"abc") for n in (10, 65_500, 65_536, 300_000)]
+    for packed in (False, True):
+        assert [x[-2]["URL"] for x in read(arc_file(1, records, packed))] == [r[0] for r in records]
+
+
+def test_a_hot_payload_and_small_ones(spark):
+    """Two thirds of the pages hold one large payload, most others a small one that repeats; null is smallest."""
+    pages = [(i, f"u{i}", "h" * 1500) for i in range(80)] + [(100 + i, "v", "s" * 999) for i in range(30)] + [(200, "w", "x" * 1000), (None, "n", "h" * 1500), (201, "e", None)]
+    got = warc.resolve_revisits(warc.pages_to_warc(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()
+    large = {t: max(p[0] for p in pages if p[2] == t and p[0] is not None) for t in {p[2] for p in pages if len(p[2] or "") >= 1000}}
+    want = Counter((i, "revisit", large[t]) if t in large and i != large[t] else (i, "response", None) for i, _, t in pages)
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == want
+
+
 def test_written_warc_is_read_whole_too(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", "z" * (i * 400), "more") for i in range(8)] + [(None, None, None, "more")], "page_id long, url string, html string, shard string")
     index = warc.write_arc(pages, common.new_path(spark, "arc"), None, file_bytes=2000)
