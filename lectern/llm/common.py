@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,11 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def hand_back() -> None:
+    """Gives memory that Arrow keeps for later back to the system: a Python worker outlives its task, and the next stage is another's."""
+    pa.default_memory_pool().release_unused()
+
+
 TASK_BYTES, LEAST_BYTES = 128_000_000, 4_000_000
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialise
+from .common import forget, hand_back, materialise
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -183,6 +183,7 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
                 kinds = (pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
                 made = [pa.array(x, k).take(take) for x, k in zip(some, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *made], ["doc_id", "n", "key", "bands", "samples", "sketch"])
+        hand_back()
 
     return docs.mapInArrow(rows, "doc_id long, n long, key binary, bands array<long>, samples long, sketch array<long>")
 
@@ -352,6 +353,7 @@ def _meet(dealt: DataFrame, low: int, high: int | None, percent: int) -> DataFra
                 made.extend((g, *r[1:]) for r in rows)
             if made:
                 yield _asks(made)
+        hand_back()
 
     return dealt.repartition("band", "mine", "yours").sortWithinPartitions("band", "mine", "yours").mapInArrow(meet, ASKS)
 
@@ -385,6 +387,8 @@ def _confirm(asks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         found.append((root[i], b_root))
                         up[max(x, y)] = min(x, y)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+        group, held, up = None, {}, {}
+        hand_back()
 
     need = asks.where("kind = 0").select("g", "kind", F.col("a").alias("node")).distinct()
     none = F.lit(None)
@@ -413,6 +417,7 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
                 part = batch.slice(i, 500)
                 made = [np.sort(shingles(t.as_py(), size).view(np.int64)) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], ["node", "shingles"])
+        hand_back()
 
     return texts.select("node", "text").mapInArrow(rows, "node long, shingles array<long>")
 

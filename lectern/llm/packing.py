@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .binplan import Plan, plan_bins
-from .common import materialise
+from .common import hand_back, materialise
 from .vocab import default_path, word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -39,6 +39,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                     rows, held = [], 0
             if rows:
                 yield to_batch(rows)
+        encoder.cache.clear()
+        hand_back()
 
     def to_batch(rows):
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
