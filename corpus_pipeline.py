@@ -17,10 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with null or empty texts are scored as texts without hits; where labels of both kinds are missing every score is
     0.5 and no row is kept by its score, so then all stay. Repeated rows are judged alike.
     """
-    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0))
-    if model is None:
-        return docs.select(*COLUMNS)
-    return toxicity.apply_model(docs, model, COLUMNS).where("score < 0.5 OR score IS NULL").select(*COLUMNS)
+    rows = toxicity.scored(docs, table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0), COLUMNS)
+    return docs.select(*COLUMNS) if rows is None else rows.where("score < 0.5").select(*COLUMNS)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

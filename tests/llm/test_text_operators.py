@@ -386,3 +386,21 @@ def test_labels_without_documents_dont_thin_the_sample(spark):
     far = spark.range(1_000, 400_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic").unionByName(spark.range(900, 1000).selectExpr("id AS doc_id", "1 AS toxic"))
     a, b = (sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score_toxicity(docs, x).collect()) for x in (real, real.unionByName(far)))
     assert a == b and len({s for _, s in a}) > 1
+
+
+def test_every_labelled_row_teaches_toxicity(spark):
+    """A word of six among 10,000 toxic documents counts; documents that are copies share a vote, and none is left out."""
+    rng = random.Random(21)
+    plain = [f"{a}{b}" for a in ("ri", "sto", "gar", "win", "yel", "mar", "let", "brid") for b in ("ver", "ned", "den", "dow", "lit", "ket", "ton", "gem")]
+    texts = [" ".join(rng.choice(plain) for _ in range(8)) + (" snorkwad" if i % 4 == 0 else "") for i in range(40_000)]
+    for i in rng.sample([i for i in range(0, 40_000, 4) if zlib.crc32(str(i).encode()) % 5], 6):
+        texts[i] = texts[i].replace("snorkwad", "grumbot")
+    texts += ["copied text of a zanyfool here"] * 60 + ["river a grumbot", "river a garden", "river a zanyfool"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    labels = spark.range(40_060).selectExpr("id AS doc_id", "CAST(id % 4 = 0 OR id >= 40000 AS INT) AS toxic")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert all(got[i].predicted == (i % 4 == 0) for i in range(40_000) if "grumbot" not in texts[i])
+    assert got[40_060].score > got[40_061].score == got[40_062].score
+    votes = {r.doc_id: r.w for r in toxicity.weighed(docs, labels).collect()}
+    assert set(votes) == set(range(40_060)) and max(votes.values()) == toxicity.UNIT
+    assert sum(votes[i] for i in range(40_000, 40_060)) <= toxicity.UNIT and sum(votes[i] for i in range(40_000)) > 39_900 * toxicity.UNIT
