@@ -191,6 +191,32 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, block, asking):
     assert [got[i] for i in range(220)] == [top(i) for i in range(220)] and 1 < len(set(got.values())) < 220
 
 
+def dealt_rows(spark, monkeypatch, n, alone):
+    """How many rows meet in blocks of 30 for a bucket of n documents, ``alone`` of which are linked with nothing; and components."""
+    monkeypatch.setattr(neardup, "BLOCK", 30)
+    signatures, meet, seen = neardup.signatures, neardup._meet, []
+    one_bucket = lambda docs, size: signatures(docs, size).withColumn("bands", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(i == 0, F.lit(7)).otherwise(F.xxhash64("doc_id", i))))
+    monkeypatch.setattr(neardup, "signatures", one_bucket)
+    monkeypatch.setattr(neardup, "_meet", lambda dealt, *rest: seen.append(dealt.count()) or meet(dealt, *rest))
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{base} n{i}" if i < n - alone else " ".join(f"x{i}y{k}" for k in range(20)), None) for i in range(n)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, rows)).collect()}
+    monkeypatch.undo()
+    assert got == {i: 0 if i < n - alone else i for i in range(n)}
+    return seen
+
+
+def test_only_those_that_ask_go_from_block_to_block(spark, monkeypatch):
+    small, large = (dealt_rows(spark, monkeypatch, n, 6) for n in (300, 900))
+    assert small == [300 + 6 * 9] * 2 and large == [900 + 6 * 29] * 2
+
+
+@pytest.mark.parametrize("visitors", [7, 40])
+def test_many_that_ask_meet_in_chunks(spark, monkeypatch, visitors):
+    monkeypatch.setattr(neardup, "VISITORS", visitors)
+    test_a_large_group_of_near_copies(spark, monkeypatch, 20, 3)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(None, "a b c d e f", None), (None, "a b c d e f", None), (7, "a b c d e f", None), (7, "q r s t u v", None), (9, "Q R s t u v", None), (3, long, None), (4, long + " end", None), (2, None, None)]
