@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import clips as A
+from lectern.plans import queries as plans
 from lectern.sources import containers as B
 from lectern.sources import files as S
 from lectern.streaming import arrivals as W
@@ -135,3 +136,8 @@ def test_a_long_clip_in_blocks(spark):
     assert sizes[0].start == 0 and all(a.start + a.n == b.start for a, b in zip(sizes, sizes[1:])) and max(r.n for r in sizes) <= size
     assert sizes[-1].start + sizes[-1].n == (n - quiet - 1) - (quiet + 3) + 2 * keep  # the first samples of the tone are too low
     assert max(r.m for r in sizes) == pytest.approx(10 ** (-1.5 / 20), abs=1e-6)
+
+
+def test_ingestion_reads_each_text_once(spark):
+    plan = plans.QUERIES["ingest_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [step for step in ("EvalPython", "MapInPandas", "Window") if step in plan]  # every stage before the last is written
