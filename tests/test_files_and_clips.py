@@ -141,3 +141,19 @@ def test_a_long_clip_in_blocks(spark):
 def test_ingestion_reads_each_text_once(spark):
     plan = plans.QUERIES["ingest_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not [step for step in ("EvalPython", "MapInPandas", "Window") if step in plan]  # every stage before the last is written
+
+
+def test_arriving_files_are_dealt_by_their_bytes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(600):
+        (tmp_path / "in" / f"{i}.txt").write_bytes(b"x" * (20_000 if i < 60 else 10))
+    seen = []
+
+    def sink(batch, epoch):
+        part = F.spark_partition_id().alias("p")
+        seen.extend(r.b for r in W.dealt(batch).select(part, "length").groupBy("p").agg(F.sum("length").alias("b")).collect())
+
+    stream = W.file_stream(spark, str(tmp_path / "in")).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "progress"))
+    stream.trigger(availableNow=True).start().awaitTermination(120)
+    assert sum(seen) == 60 * 20_000 + 540 * 10
+    assert max(seen) < sum(seen) / 4  # in order of size they would share a task or two
