@@ -245,6 +245,21 @@ def test_restoration_is_the_cheapest_of_all_paths():
     assert [toxicity.restore(t, model) for t in ("1d10t", "k111", "i**ot")] == ["idiot", "kill", "idiot"]
 
 
+def test_spelling_is_learned_from_every_word_of_toxic_documents(spark):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(600)) for _ in range(60)]
+    texts[3] += " żółw"  # letters that one document has
+    docs = documents(spark, [(i, t, None) for i, t in enumerate(texts)])
+    named = toxicity.weighed(docs, spark.createDataFrame([(i, int(i % 3 < 2)) for i in range(60)], "doc_id long, toxic int"))
+    votes, words = {r.doc_id: r.w / toxicity.UNIT for r in named.collect()}, Counter()
+    for i, t in enumerate(texts):
+        if i % 3 < 2:
+            words.update(dict.fromkeys(toxicity.plain_words(t), votes[i]))
+    want, got = toxicity.CharModel.of(words), toxicity.train(docs, named).chars
+    assert len(words) > 20_000 and got.letters == want.letters and "ż" in got.letters
+    assert got.counts == pytest.approx(want.counts) and got.totals == pytest.approx(want.totals)
+
+
 def test_equal_signs_in_a_row_are_letters_of_their_own():
     assert [len(w) for w in toxicity.lattice("k111", "ab")] == [1, 2, 3, 3] and toxicity.squeeze("k1111111---x") == "k1111-x"
     assert toxicity.squeeze("a" * 9) == "aaa" and toxicity.squeeze("*" * 60) == "*" * 41
